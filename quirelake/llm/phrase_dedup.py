@@ -121,3 +121,31 @@ def phrase_dedup(docs: DataFrame, length: int = 20, k: int = 4, limit: int = 512
     if with_text:
         return joined.select("doc_id", "text", "marks", F.lit(True).alias("keep")).mapInArrow(_strip, RESULT + ", kept string")
     return joined.select("doc_id", "text", "marks").mapInArrow(_strip, RESULT)
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.schema.names[:-1]
+        at = names.index("text")
+        ids, marks = batch.column(names.index("doc_id")).to_pylist(), batch.column(batch.num_columns - 1)
+        for a, b, data, offsets in K.chunks(batch.column(at)):
+            texts, left = batch.column(at)[a:b].to_pylist(), []
+            raw = data.tobytes()
+            for i, mask in enumerate(located(ids[a:b], [marks[j].as_py() for j in range(a, b)], data, offsets)):
+                if mask is not None:
+                    texts[i] = b" ".join(compress(raw[offsets[i] : offsets[i + 1]].split(), (~mask).tolist())).decode("utf-8", "replace")
+                left.append(mask is None or not mask.all())
+            columns = [c[a:b] for c in batch.columns[:-1]]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(left))
+
+
+def strip_phrases(docs: DataFrame, length: int = 20, k: int = 4, limit: int = 512) -> DataFrame:
+    """``docs`` with all columns, each text without the words that ``phrase_dedup`` removes.
+
+    A text that loses nothing stays as it is; a document that loses all its words goes.
+    """
+    marks = repeated(docs, Spans("words", length, min(k, max(1, length // 2)), limit), earlier_spans, later_only=True)
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("__marks"))
+    joined = docs.join(marks, "doc_id", "left").select(*[docs[c] for c in docs.columns], "__marks")
+    return joined.mapInArrow(_rewrite, docs.schema)

@@ -200,3 +200,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows, buckets))
     scored = docs.select("doc_id", "text").mapInArrow(_score(shared), SCORES)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _keep(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for a, b, which, value, bounds in features(batch.column(batch.schema.get_field_index("text")), model.buckets):
+                z = logits(model, which, value, bounds).astype(np.float64)
+                kept[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold
+            yield batch.filter(pa.array(kept))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 8000, buckets: int = 1 << 16) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts to be good; no shuffle of texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows, buckets))
+    return docs.mapInArrow(_keep(shared, threshold), docs.schema)

@@ -5,18 +5,83 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
+from .embed_dedup import embedding_dedup
+from .ngram_join import ngram_join
+from .packing import pack_documents
 from .phrase_dedup import phrase_dedup
+from .quality_fm import quality_scores
 from .suffix_dedup import suffix_dedup
+from .token_binary import token_binary
+from .token_counts import edited_counts
+from .warc import warc_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the machine keeps its public vocabulary files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return quality_scores(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return phrase_dedup(_table(spark, d, "documents"))
+
+
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return token_binary(_table(spark, d, "documents"), tokenizer_path())
+
+
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return edited_counts(_table(spark, d, "documents"), tokenizer_path())
+
+
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return warc_records(_table(spark, d, "pages"))
+
+
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    hits = decontaminate(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup(_table(spark, d, "documents"))
+
+
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup(_table(spark, d, "embeddings"))
+
+
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(_table(spark, d, "documents"))
+
+
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join(_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_substring_dedup": lambda spark, d: phrase_dedup(_table(spark, d, "documents")),
-    "op7_suffix_array_dedup": lambda spark, d: suffix_dedup(_table(spark, d, "documents")),
+    "op1_quality_classifier": op1,
+    "op2_substring_dedup": op2,
+    "op3_token_binary": op3,
+    "op4_token_counts": op4,
+    "op5_warc": op5,
+    "op6_decontamination": op6,
+    "op7_suffix_array_dedup": op7,
+    "op8_embedding_dedup": op8,
+    "op9_packing": op9,
+    "op10_ngram_join": op10,
 }
 
 SQL: dict[str, str] = {
