@@ -10,8 +10,8 @@ from .resolve import last_writer_wins
 
 def listed(df: DataFrame, key: str, column: str, separator: str) -> DataFrame:
     """(key, item): the non-empty trimmed parts of a separated list, once each."""
-    parts = F.explode(F.split(F.col(column), separator))
-    return df.select(key, F.trim(parts).alias("item")).where("item <> ''").distinct()
+    parts = F.transform(F.split(F.col(column), separator), lambda x: F.trim(x))
+    return df.select(key, F.explode(parts).alias("item")).where("item <> ''").distinct()
 
 
 def nodes(df: DataFrame, label: str, key: Column, props: Column | None = None) -> DataFrame:

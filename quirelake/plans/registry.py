@@ -1,6 +1,38 @@
-"""All queries over the driver's tables, with their DuckDB SQL."""
+"""All queries over the driver's tables, with their DuckDB SQL.
+
+The library's operators take columns; these queries only choose stand-in columns for them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of ``Tables`` under its name."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import document_queries, evaluation_queries, graph_queries, page_queries, relational_queries, search_queries  # noqa: E402, F401

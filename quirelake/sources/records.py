@@ -73,7 +73,7 @@ def read_ocr_results(spark: SparkSession, path: str) -> DataFrame:
 
 def read_book_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row; authors and subjects as arrays whatever they were."""
-    as_list = lambda c: F.filter(F.transform(F.coalesce(F.from_json(c, "array<string>"), F.split(c, ",")), F.trim), lambda x: x != "")
+    as_list = lambda c: F.filter(F.transform(F.coalesce(F.from_json(c, "array<string>"), F.split(c, ",")), lambda x: F.trim(x)), lambda x: x != "")
     raw = spark.read.text(path, wholetext=True)
     field = lambda *names: F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names])
     return raw.select(
