@@ -61,7 +61,11 @@ def blind_trie(strings: list[bytes], group: list[int], depth: int) -> list[int]:
         while node.edges and node.depth < agree:
             parent, node = node, node.edges[s[node.depth] if node.depth < len(s) else -1]
         if node.edges and node.depth == agree:
-            node.edges[s[agree] if agree < len(s) else -1] = _Node(len(s), i)
+            c = s[agree] if agree < len(s) else -1
+            if c in node.edges:  # only where both end here: an equal string
+                node.edges[c].leaves.append(i)
+            else:
+                node.edges[c] = _Node(len(s), i)
         elif not node.edges and agree == len(s) == node.depth:
             node.leaves.append(i)  # an equal string
         else:
