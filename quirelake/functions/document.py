@@ -5,6 +5,7 @@ Ordered dictionaries are ARRAY<STRUCT<k,v>>, since first and last matches depend
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -79,15 +80,23 @@ def title_type(title: Column) -> Column:
     return _classes(F.lower(title), fixed_values.TITLE_KEYWORDS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: expressions are trees, and a use of one is a copy of it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def shelf_mark_for_match(mark: Column) -> Column:
     """Ordered rewrites, then the lettered series."""
     text = strip(mark)
     for old, new in fixed_values.SHELF_MARK_REWRITES:
         text = F.replace(text, F.lit(old), F.lit(new))
-    parts = F.split(text, ":", 2)
-    tail = F.when(F.size(parts) > 1, strip(F.get(parts, F.lit(1)))).otherwise(text)
-    series = reduce(lambda out, x: out.when(tail.startswith(x + " "), "Gaster " + x), fixed_values.SERIES_LETTERS[1:], F.when(tail.startswith("A "), "Gaster A"))
-    return F.when(text.rlike("^Manchester[: ]") & series.isNotNull(), series).otherwise(text)
+    letters = "".join(fixed_values.SERIES_LETTERS)
+
+    def series(t: Column) -> Column:
+        letter = F.regexp_extract(t, f"^Manchester(?:[^:]*:\\s*)([{letters}]) ", 1)
+        return F.when(t.rlike("^Manchester[: ]") & (letter != ""), F.concat(F.lit("Gaster "), letter)).otherwise(t)
+
+    return let(text, series)
 
 
 def paris_series(mark: Column) -> Column:
@@ -99,15 +108,18 @@ def paris_series(mark: Column) -> Column:
 def shelf_mark_mapping(mark: Column, prefixes: list[tuple] | None = None, paris_collection: str | None = None) -> Column:
     """(institution, collection, sub_collection): the longest prefix wins; Paris marks are filled first."""
     rows = sorted(prefixes or fixed_values.SHELF_MARK_PREFIXES, key=lambda r: -len(r[0]))
-    candidate = shelf_mark_for_match(mark)
     text = lambda x: F.lit(x).cast("string")
-    entry = lambda r: F.struct(text(r[1]).alias("institution"), text(r[2]).alias("collection"), text(r[3]).alias("sub_collection"))
-    found = reduce(lambda out, r: out.when(candidate.startswith(r[0]), entry(r)), rows[1:], F.when(candidate.startswith(rows[0][0]), entry(rows[0])))
+    names = ("prefix", "institution", "collection", "sub_collection")
+    table = F.array(*[F.struct(*[text(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    found = let(shelf_mark_for_match(mark), lambda c: F.get(F.filter(table, lambda e: F.startswith(c, e["prefix"])), F.lit(0)))
     paris = F.contains(mark, F.lit("Paris")) | F.contains(mark, F.lit("AIU"))
-    return F.struct(
-        F.when(paris, text(fixed_values.PARIS_INSTITUTION)).otherwise(found["institution"]).alias("institution"),
-        F.coalesce(F.when(paris, text(paris_collection)), found["collection"]).alias("collection"),
-        F.coalesce(F.when(paris, paris_series(mark)), found["sub_collection"]).alias("sub_collection"),
+    return let(
+        found,
+        lambda f: F.struct(
+            F.when(paris, text(fixed_values.PARIS_INSTITUTION)).otherwise(f["institution"]).alias("institution"),
+            F.coalesce(F.when(paris, text(paris_collection)), f["collection"]).alias("collection"),
+            F.coalesce(F.when(paris, paris_series(mark)), f["sub_collection"]).alias("sub_collection"),
+        ),
     )
 
 
@@ -124,14 +136,19 @@ def temporal_info(date: Column, kv: Column) -> Column:
     own = F.get(F.filter(parsed, lambda x: x["p"]["start"].isNotNull() | x["p"]["end"].isNotNull()), F.lit(0))
     tei = F.transform(F.filter(kv, _key_has("date")), lambda e: dates.parse_date(e["v"]))
     tei = F.get(F.filter(tei, lambda p: p["start"].isNotNull() | p["end"].isNotNull()), F.lit(0))
-    start = F.when(tei.isNotNull(), tei["start"]).otherwise(own["p"]["start"])
-    return F.struct(
-        start.alias("date_start"),
-        F.when(tei.isNotNull(), tei["end"]).otherwise(own["p"]["end"]).alias("date_end"),
-        own["v"].alias("date_display"),
-        F.when(tei.isNotNull(), "high").when(own.isNotNull(), "probable").otherwise("uncertain").alias("date_certainty"),
-        dates.century(start).alias("century"),
-    )
+
+    def info(x: Column) -> Column:
+        own, tei = x["own"], x["tei"]
+        start = F.when(tei.isNotNull(), tei["start"]).otherwise(own["p"]["start"])
+        return F.struct(
+            start.alias("date_start"),
+            F.when(tei.isNotNull(), tei["end"]).otherwise(own["p"]["end"]).alias("date_end"),
+            own["v"].alias("date_display"),
+            F.when(tei.isNotNull(), "high").when(own.isNotNull(), "probable").otherwise("uncertain").alias("date_certainty"),
+            dates.century(start).alias("century"),
+        )
+
+    return let(F.struct(own.alias("own"), tei.alias("tei")), info)
 
 
 def script_type(language: Column) -> Column:

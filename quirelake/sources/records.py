@@ -62,7 +62,9 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def read_structured_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pages in order, unreadable files) of all ``*_structured.json`` below a folder."""
-    rows = spark.read.schema(STRUCTURED_PAGE).json(path, multiLine=True, mode="PERMISSIVE", pathGlobFilter="*_structured.json", recursiveFileLookup=True).withColumn("file_path", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*_structured.json", recursiveFileLookup=True)
+    parsed = F.from_json("value", STRUCTURED_PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = files.select(parsed.alias("p"), F.col("_metadata.file_path").alias("file_path")).select("p.*", "file_path")
     good = rows.where("_corrupt_record is null").drop("_corrupt_record").dropDuplicates(["file_path"])
     return good.orderBy(F.coalesce("metadata.page_number", F.lit(0)), "file_path"), rows.where("_corrupt_record is not null").select("file_path", "_corrupt_record")
 
