@@ -96,4 +96,40 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, (coalesce(len(w), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
     """,
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        bits AS (SELECT page_id, payload_bytes, h, list_aggregate(list_transform(string_split(h, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), 'string_agg', '') AS b FROM p),
+        d AS (SELECT page_id, payload_bytes, h, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * i + 1, 1)::INTEGER + 8 * substr(b, 5 * i + 2, 1)::INTEGER + 4 * substr(b, 5 * i + 3, 1)::INTEGER + 2 * substr(b, 5 * i + 4, 1)::INTEGER + substr(b, 5 * i + 5, 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest FROM bits)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type, nullif(max(page_id) OVER (PARTITION BY h), page_id) AS refers_to FROM d
+    """,
+    "op6_decontamination": r"""
+        WITH lowered AS (SELECT 0 AS item, item_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark UNION ALL SELECT 1, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM documents),
+        w AS (SELECT item, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM lowered),
+        iw AS (SELECT id AS item_id, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT id, w, least(13, len(w)) AS m FROM w WHERE item = 0 AND len(w) > 0))),
+        ms AS (SELECT DISTINCT m FROM iw),
+        dw AS (SELECT id AS doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, ms WHERE item = 1 AND len(w) >= m)),
+        hit AS (SELECT DISTINCT doc_id, i, m FROM dw WHERE (m, s) IN (SELECT m, s FROM iw)),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM dw JOIN iw ON dw.m = iw.m AND dw.s = iw.s) GROUP BY doc_id)
+        SELECT w.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM w LEFT JOIN pos ON w.id = pos.doc_id LEFT JOIN its ON w.id = its.doc_id WHERE item = 1
+    """,
+    "op8_embedding_dedup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+        root AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT root.a AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, root.a = component_id AS kept FROM root LEFT JOIN n ON root.a = n.a
+    """,
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS s FROM g GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE k >= 0.8 * (p.n + q.n - k) - 1e-9),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+        root AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a), d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT root.a AS doc_id, coalesce(n.n, 0)::BIGINT AS n_grams, CASE WHEN n.s IS NULL THEN root.a ELSE min(root.a) OVER (PARTITION BY n.s) END AS copy_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, class_id = root.a AS kept
+        FROM root LEFT JOIN n ON root.a = n.doc_id LEFT JOIN d ON root.a = d.a
+    """,
 }
