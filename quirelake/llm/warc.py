@@ -105,17 +105,21 @@ class _Members:
         while True:
             if not self.rest:
                 self.rest = self.raw.read(self.chunk)
-                if not self.rest:
+                if not self.rest and self.unpack is None:
                     return False
+            ended = not self.rest  # what the last input held may still be coming out
             if self.unpack is None:
                 self.unpack = zlib.decompressobj(31)
             got = self.unpack.decompress(self.rest, self.chunk)
-            self.rest = self.unpack.unconsumed_tail
-            if self.unpack.eof:
-                self.rest, self.unpack = self.unpack.unused_data + self.rest, None
+            if self.unpack.eof:  # the unconsumed tail may repeat the unused data here
+                self.rest, self.unpack = self.unpack.unused_data, None
+            else:
+                self.rest = self.unpack.unconsumed_tail
             if got:
                 self.buffer += got
                 return True
+            if ended:
+                return False
 
     def take(self, n: int) -> bytes:
         """n bytes, or fewer at the end."""

@@ -193,6 +193,22 @@ def test_payloads_come_in_chunks(spark):
     assert joined[6] == ("é" * 70_000).encode() and joined[7] == b"alone\r\n\r\nWARC/1.1" and joined[5] == b""
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 100, 4096])
+def test_members_of_any_size_follow_each_other(chunk):
+    rnd, out = random.Random(chunk), io.BytesIO()
+    payloads = [(rnd.choice(["ab", "é", "xyz "]) * rnd.randrange(3000)).encode() + rnd.randbytes(rnd.randrange(50)) for _ in range(40)]
+    for p in payloads:
+        write_record(out, [("WARC-Type", "response")], memoryview(p), 1 << 16, 1)
+    got, part = [], b""
+    for _, _, last, seen, _, piece in read_records(io.BytesIO(out.getvalue()), chunk):
+        part += piece
+        assert len(piece) <= chunk and seen == len(part)
+        if last:
+            got.append(part)
+            part = b""
+    assert got == payloads
+
+
 def test_a_broken_archive_is_an_error():
     out = io.BytesIO()
     write_record(out, [("WARC-Type", "response")], b"payload", 3, 1)
