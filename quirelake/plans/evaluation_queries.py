@@ -41,8 +41,9 @@ def rouge_scores(t: Tables) -> DataFrame:
 
 @query()
 def model_disagreement(t: Tables) -> DataFrame:
-    rows = t.conversations.where("turn < 3").select("conv_id", C("turn").cast("string").alias("model"), "text")
-    return evaluate.disagreements(rows, "conv_id", "model", "text")
+    # every three turns stand for one document as read by three models
+    rows = t.conversations.select(F.concat_ws(":", "conv_id", F.expr("turn div 3")).alias("document"), (C("turn") % 3).cast("string").alias("model"), "text")
+    return evaluate.disagreements(rows, "document", "model", "text")
 
 
 @query("""SELECT event_id, strategy, round(confidence, 6) AS confidence FROM (SELECT event_id, CASE WHEN event_type = 'click' AND value / 200.0 > 0.7 THEN 'ocr_primary' WHEN event_type IN ('view', 'error') THEN 'llm_pro_preferred' WHEN event_type = 'purchase' THEN 'llm_flash_only' WHEN event_type = 'signup' THEN 'failed' ELSE 'fallback_first' END AS strategy,
