@@ -138,8 +138,8 @@ def test_token_files(spark):
         at += len(ids)
     assert got == want
     assert token_binary(df.limit(0), tokenizer_path()).count() == 0
-    files, ranks = write_tokens(df, tokenizer_path(), file_tokens=50)
-    assert files.count() > 3 and sum(r.documents for r in files.collect()) == len(rows)
+    files, ranks = write_tokens(df, tokenizer_path(), file_tokens=10)
+    assert files.count() >= 3 and sum(r.documents for r in files.collect()) == len(rows)
     by_rank = np.fromfile(ranks, "<i4").astype("<u4")
     assert sum(len(read_file(open(r.path, "rb").read(), by_rank)[2]) for r in files.collect()) == at
 
