@@ -103,10 +103,8 @@ def deep_shallow(strings: list[bytes], agreed: int = 0, shallow: int = SHALLOW)
         same = [i for i, c in zip(group, keys) if c == pivot]
         more = [i for i, c in zip(group, keys) if c > pivot]
         stack.append((more, depth))
-        if pivot < 0:
-            stack.append(([], depth))
-            for i in same[::-1]:
-                stack.append(([i], depth))
+        if pivot < 0:  # these have ended: they are equal
+            stack.extend(([i], depth) for i in reversed(same))
         else:
             stack.append((same, depth + 1))
         stack.append((less, depth))
@@ -133,7 +131,6 @@ def equal_spans(mode: Spans, lo: int, hi: int, rows: list[dict]) -> Iterator[tup
         shared.append(np.asarray(common))
     sizes = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     points = {int(v) for v in shared[0][1:] if lo <= v <= hi} | {length - int(v) for v in shared[1][1:] if lo <= length - v <= hi}
-    least, most = [None] * m, [None] * m
     for a in sorted(points):
         part = np.empty((2, m), np.int64)
         for side, need in ((0, a), (1, length - a)):
