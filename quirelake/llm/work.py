@@ -29,16 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/quirelake/{name}-{uuid.uuid4().hex[:12]}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    """A fresh path in this application's folder under the shared one; the folder goes when the driver's JVM ends."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quirelake-{spark.sparkContext.applicationId}")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        store.mkdirs(root)
+        store.deleteOnExit(root)
+    path = f"{store.makeQualified(root).toString()}/{name}-{uuid.uuid4().hex[:12]}"  # with its scheme, for readers outside the JVM
+    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
