@@ -160,3 +160,42 @@ def test_sinks(spark, tmp_path):
     sinks.write_bulk(df.where("doc_id is not null"), str(tmp_path / "b"), "idx", "doc_id")
     lines = [json.loads(x) for f in (tmp_path / "b").glob("part-*") for x in f.read_text().splitlines()]
     assert len(lines) == 4 and sum("index" in x for x in lines) == 2
+
+
+def test_records_of_both_families(spark):
+    from quirelake.operators import records as r
+
+    tei = {"doc_id": "MS-X/1", "image_urls": ["u"], "transcriptions": [{"name": "a", "lines": {"2": "x", "1": "y"}}, {"name": "b", "lines": ["p", "q"]}, {"name": "c", "lines": "one"}], "date": {"standard_date": "950/1300"}, "language": "ignored", "full_metadata_info": {r.TEI + "idno": "ID 1", "Title": "T", r.TEI + "textLang": "heb, arc", r.TEI + "provenance": "from Fustat"}}
+    linked = {"images": ["i"], "language": "Hebrew", "transcriptions": {"1": "x\n\n y ", "2": " "}, "translations": {"a": "t", "b": " "}, "other_info": {"material": "Paper"}, "related_people": [{"name": "P"}, {"role": "x"}], "date": {"hebrew_date": "1050"}, "joins_data": {"mainShelfmark": "M"}}
+    a = r.tei_documents(spark.createDataFrame([(json.dumps(tei),)], "record string"))
+    row = a.head()
+    assert [(s.name, s.kind, [(e.k, e.v) for e in s.lines]) for s in row.transcriptions] == [("a", "map", [("2", "x"), ("1", "y")]), ("b", "list", [("1", "p"), ("2", "q")]), ("c", "text", [("1", "one")])]
+    assert row.language == "Unknown" and row.full_metadata[0].v == "ID 1"
+    d = normalize.derived(a).head()
+    assert (d.source_collection, d.temporal.date_start, d.language_info.main_language, d.lines) == ("cambridge", "950-01-01", None, ["x", "y", "p", "q", "one"])
+    f = a.select(r.adapter_fields(C("full_metadata"), C("doc_id"), C("shelf_mark"), F.lit(None).cast("string"), F.lit("Unknown")).alias("f")).head().f
+    assert (f.shelf_mark, f.place, f.languages, f.dating) == ("ID 1", "Fustat", ["arc", "heb"], None)
+    b = r.linked_documents(spark.createDataFrame([("k1", json.dumps(linked))], "id string, record string"), key="id")
+    d = normalize.derived(b).head()
+    assert (d.doc_id, d.lines, d.translations, d.physical_notes.material, d.entities.people, d.source_collection, d.joins_data.mainShelfmark) == ("k1", ["x", "y"], ["t"], "Paper", ["P"], "princeton", "M")
+    h = lambda s, m: tuple(spark.range(1).select(r.holding(F.lit("L"), F.lit(s), F.lit(m), F.lit(None).cast("string")).alias("h")).head().h)
+    assert h("x", "MS-TS-AS-1") == ("L", "Unknown", "AS") and h("Rylands", "B 1") == ("Rylands", "Friedberger Collection", None)
+
+
+def test_source_records(spark):
+    from quirelake.operators.records import source_records
+
+    df = spark.createDataFrame([("s", "1", "m", "old", "d1", 1), ("s", "1", "m2", "new", "d2", 2), ("s", None, "m3", "x", "d3", 3)], "source_name string, doc_id string, shelf_mark string, original_url string, document_id string, o int")
+    got = {(r.source_id, r.original_url, r.document_id) for r in source_records(df, "o").collect()}
+    assert got == {("1", "new", "d1"), ("m3", "x", "d3")}
+
+
+def test_page_documents(spark):
+    from quirelake.operators.records import page_documents, page_search_document
+    from quirelake.sources.records import STRUCTURED_PAGE
+
+    raw = spark.createDataFrame([(json.dumps({"extracted_page_number": [119], "shelf_marks_mentioned": {"A": "x"}, "transcriptions": {"A": {"2": "b", "1": "a"}}, "summary": "S"}),)], "j string")
+    pages_ = page_documents(raw.select(F.from_json("j", STRUCTURED_PAGE).alias("p")).select("p.*"), F.lit("book"))
+    book = spark.createDataFrame([("T", ["A"], ["s"], "P", "1999")], "title string, authors array<string>, subjects array<string>, publisher string, publication_date string")
+    r = page_search_document(pages_, book).head()
+    assert (r.doc_id, r.page_number, r.shelf_mark, r.transcriptions, r.full_text_content, r.title) == ("book_p119", 119, "A", {"A": "a\nb"}, "Summary: S\nTranscriptions: a\nb", "T")
