@@ -17,6 +17,8 @@ from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
 
@@ -26,6 +28,16 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _BLANK, _CLOSES, _OPEN = 1, 2, 4
 
 
+def _byte_names() -> dict[int, str]:
+    """A byte-level vocabulary's name for each byte: itself where it prints, else the next character from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
 def _flags(piece: str) -> int:
     """_BLANK: ends in white space, so a cut after it may be wrong; _CLOSES: begins with a closing mark; _OPEN: a closing mark may not be cut off after it."""
     last = piece[-1:]
@@ -37,6 +49,8 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        if not isinstance(self.tokenizer.model, BPE) or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
+            raise ValueError("a byte-level BPE is needed")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -46,7 +60,11 @@ class PieceEncoder:
         self.ends, self.flags = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint8)
 
     def _learn(self, missing: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
+        # letters, with a space before them or not, are one pre-token: the library's model takes them directly
+        single = [x[x[:1] == " " :].isalpha() for x in missing]
+        rest = iter(self.tokenizer.encode_batch_fast([x for x, one in zip(missing, single) if not one], add_special_tokens=False))
+        merge = self.tokenizer.model.tokenize
+        found = [[t.id for t in merge(x.encode().decode("latin-1").translate(_BYTE_NAMES))] if one else next(rest).ids for x, one in zip(missing, single)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         n, m, total = len(self.known), len(missing), int(size.sum())
         while n + m + 1 > len(self.ends):
