@@ -120,20 +120,31 @@ def fit(which: np.ndarray, value: np.ndarray, bounds: np.ndarray, label: np.ndar
         model.bias = 0.0 if len(label) == 0 else (4.0 if positive else -4.0)
         return model
     model.bias = float(np.log(positive / (1 - positive)))
-    order = np.argsort(which, kind="stable")
-    used, first = np.unique(which[order], return_index=True)
-    owner = np.repeat(np.arange(len(label)), np.diff(bounds))
-    row, val = owner[order], value[order]
+    order = np.argsort(which, kind="stable").astype(np.int32)
+    by_feature = which[order]
+    used, first = np.unique(by_feature, return_index=True)
+    row, val = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(bounds))[order], value[order]
     moments = [np.zeros((2, len(used)), np.float32), np.zeros((2, len(used), rank), np.float32), np.zeros(2)]
+    starts = bounds[:-1]
     for t in range(1, rounds + 1):
-        vx = model.factors[which] * value[:, None]
-        sums = np.add.reduceat(vx, bounds[:-1], axis=0)
-        squares = np.add.reduceat(vx**2, bounds[:-1], axis=0)
-        z = model.bias + np.add.reduceat(model.linear[which] * value, bounds[:-1]) + 0.5 * (sums**2 - squares).sum(axis=1)
+        # one factor at a time: nothing larger than a number for each entry is held
+        sums = np.empty((len(label), rank), np.float32)
+        z = model.bias + np.add.reduceat(model.linear[which] * value, starts)
+        for f in range(rank):
+            vx = model.factors[which, f] * value
+            sums[:, f] = np.add.reduceat(vx, starts)
+            vx *= vx
+            z += 0.5 * (sums[:, f] ** 2 - np.add.reduceat(vx, starts))
         error = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - label).astype(np.float32) / np.float32(len(label))
-        linear = np.add.reduceat(error[row] * val, first) + penalty * model.linear[used]
-        entries = (error[row] * val)[:, None] * (sums[row] - model.factors[which[order]] * val[:, None])
-        factors = np.add.reduceat(entries, first, axis=0) + penalty * model.factors[used]
+        pull = error[row] * val
+        linear = np.add.reduceat(pull, first) + penalty * model.linear[used]
+        factors = np.empty((len(used), rank), np.float32)
+        for f in range(rank):
+            rest = sums[row, f]
+            rest -= model.factors[by_feature, f] * val
+            rest *= pull
+            factors[:, f] = np.add.reduceat(rest, first)
+        factors += penalty * model.factors[used]
         for i, g in enumerate((linear, factors, error.sum())):
             m = moments[i]
             m[0] = 0.9 * m[0] + 0.1 * g
