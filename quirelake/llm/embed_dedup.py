@@ -2,9 +2,8 @@
 
 Centres are fitted on a bounded sample.  A vector belongs to its closest cell, and visits each cell of smaller
 number whose bounding plane it lies close to: two unit vectors at cosine ``t`` are at most ``d = sqrt(2 - 2t)``
-apart, so if they belong to cells a and b, either lies within ``d`` of the plane between a and b.  A margin of ``d``
-is exact in the worst case; a chance direction moves a vector by about ``d / sqrt(dim)`` across a plane, and the
-default margin is four times that.  Cells are dealt out by label, and large ones as pairs of blocks.
+apart, so if they belong to cells a and b, either lies within ``d`` of the plane between a and b.  That margin is
+the default and finds every link.  Cells are dealt out by label, and large ones as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -57,6 +56,7 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 7
 def _assign(shared, threshold: float, margin: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_centres: dict[int, np.ndarray] = shared.value
+        all_gaps: dict[int, np.ndarray] = {}
         for batch in batches:
             rows, units = _unit(batch.column(2))
             ids, labels = batch.column(0), batch.column(1)
@@ -65,7 +65,9 @@ def _assign(shared, threshold: float, margin: float | None):
                 at = np.flatnonzero(lengths == dim)
                 x = np.stack([units[i] for i in at])
                 centres = all_centres.get(dim, np.eye(1, dim))
-                gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+                if dim not in all_gaps:  # from differences: products cancel where centres nearly coincide
+                    all_gaps[dim] = np.stack([np.linalg.norm(centres - c, axis=1) for c in centres])
+                gaps = all_gaps[dim]
                 near = x @ centres.T
                 home = np.argmax(near, axis=1)
                 reach = math.sqrt(2 - 2 * threshold) * (1.0 if margin is None else min(1.0, margin / math.sqrt(dim)))
@@ -141,18 +143,19 @@ def _dealt(assigned: DataFrame, block: int) -> DataFrame:
     return rows.select("label", "cell", "vec_id", "unit", F.explode(tasks).alias("t")).select("label", "cell", "t.task", "t.side", "vec_id", "unit")
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 2000, max_cells: int = 1024, sample_rows: int = 20_000, margin: float | None = 4.0, block: int = 4096) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 2000, max_cells: int = 1024, sample_rows: int = 20_000, margin: float | None = None, block: int = 4096) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Only vectors of equal, non-null labels and equal length are compared; vectors that are null, empty, zero or
-    hold null or non-finite components link with nothing.  n_links: other rows at cosine ``threshold`` or more among
-    those compared (``margin=None`` compares every such pair); component_id: smallest vec_id reachable by links;
-    kept: it is its own.  Centres come from at most ``sample_rows`` vectors.  A null vec_id is its own group with a
+    hold null or non-finite components link with nothing.  n_links: other rows at cosine ``threshold`` or more, all of
+    them with ``margin=None``; a number narrows the margin to ``margin / sqrt(dim)`` of the exact one and loses links;
+    component_id: smallest vec_id reachable by links; kept: it is its own.  Centres come from at most ``sample_rows``
+    vectors, one for every ``cell_rows`` of the largest label.  A null vec_id is its own group with a
     null component_id; other columns are ignored; repeated vectors link like others; an empty table gives no rows.
     """
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
     usable = rows.where("vec_id is not null and label is not null and embedding is not null")
-    total = usable.count()
+    total, largest = usable.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).head()
     centres: dict[int, np.ndarray] = {}
     if total:
         share = min(1.0, 1.2 * sample_rows / total)
@@ -161,7 +164,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
         _, units = _unit(drawn["embedding"].combine_chunks())
         for dim in {len(u) for u in units}:
             own = np.stack([u for u in units if len(u) == dim])
-            centres[dim] = spherical_kmeans(own, max(1, min(max_cells, total // cell_rows, len(own))))
+            centres[dim] = spherical_kmeans(own, max(1, min(max_cells, largest // cell_rows, len(own))))
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
     assigned = stored(usable.mapInArrow(_assign(shared, threshold, margin), ASSIGNED), "assigned")
     groups = _dealt(assigned, block).groupBy("label", "cell", "task").agg(F.collect_list(F.struct("vec_id", "side", "unit")).alias("g"))

@@ -120,6 +120,17 @@ def test_vectors(spark, options):
         assert found >= 0.99 * there
 
 
+def test_vectors_of_few_directions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(1500, 3)) @ rng.normal(size=(3, 64)) + rng.normal(size=(1500, 64)) * 0.05).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in embedding_dedup(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int"), cell_rows=100).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert got == dict(enumerate(want.tolist())) and want.sum() > 10_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=30).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=30), st.integers(0, 6))
 def test_deep_shallow_sorts(strings, shallow):
