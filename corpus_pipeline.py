@@ -14,6 +14,7 @@ from quirelake.llm.ngram_join import ngram_join
 from quirelake.llm.packing import pack_documents
 from quirelake.llm.phrase_dedup import strip_phrases
 from quirelake.llm.quality_fm import keep_good
+from quirelake.llm.queries import tokenizer_path
 from quirelake.llm.work import stored
 
 #: The quality classifier has no SQL form; the stages are tested against brute-force versions.
@@ -44,8 +45,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
-    return pack_documents(docs)
+    """Where each piece of each document lies in the training sequences, in tokens."""
+    return pack_documents(docs, tokenizer=tokenizer_path())
 
 
 STAGES = [

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .tokens import encoder
 from .work import stored
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -92,6 +93,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(K.words(data, offsets, K.SPACE)[2]) + 1)], ["doc_id", "length"])
 
 
+def _token_counts(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                _, bounds = tokens.encode([x or "" for x in rows.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds) + 1)], ["doc_id", "length"])
+
+    return run
+
+
 def _pack_shard(capacities: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +123,11 @@ def _pack_shard(capacities: tuple[int, ...]):
     return run
 
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Column | None = None, shard_rows: int = 8192) -> DataFrame:
+def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Column | None = None, shard_rows: int = 8192, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, shard, bin, capacity, position.
 
-    A document's length is ``length``, or its words (ASCII white space apart) and an end mark.  A document longer
+    A document's length is ``length``, or its tokens under the vocabulary file ``tokenizer`` and an end mark, or with
+    neither its words (ASCII white space apart) and an end mark.  A document longer
     than the largest capacity is cut into pieces of that size and a rest; one of length zero is a piece of length
     zero.  (shard, bin) names a bin; position is where a piece begins in it.  A null text has the end mark only; a
     null or negative ``length`` is zero; null ids and repeated rows are packed like others; other columns are
@@ -122,7 +136,7 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, le
     capacities = tuple(sorted(set(capacities)))
     most = capacities[-1]
     if length is None:
-        sized = docs.select("doc_id", "text").mapInArrow(_word_counts, "doc_id long, length long")
+        sized = docs.select("doc_id", "text").mapInArrow(_token_counts(tokenizer) if tokenizer else _word_counts, "doc_id long, length long")
     else:
         sized = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("length"))
     cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(length - 1) div {most}")))

@@ -64,7 +64,7 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, d: str) -> DataFrame:
-    return pack_documents(_table(spark, d, "documents"))
+    return pack_documents(_table(spark, d, "documents"), tokenizer=tokenizer_path())
 
 
 def op10(spark: SparkSession, d: str) -> DataFrame:

@@ -235,3 +235,18 @@ def test_packing(spark):
     assert pieces == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 809)]
     assert len(got) == 9 and all(r.capacity in CAPACITIES and r.position + r.length <= r.capacity for r in got)
     assert pack_documents(spark.createDataFrame([], TEXT)).count() == 0
+
+
+def test_queries_pack_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from quirelake.llm.queries import QUERIES
+
+    rows = [(1, "".join(chr(0x4E00 + i % 5000) for i in range(9000))), (2, None), (3, ""), (4, "a b c"), (None, "QUJD" * 3000)]
+    df = spark.createDataFrame(rows, TEXT)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (QUERIES["op9_packing"](spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))):
+        got = out.collect()
+        for d, t in rows:
+            own = [r for r in got if r.doc_id == d]
+            assert sum(r.length for r in own) == len(whole(t)) + 1
+            assert all(r.position + r.length <= r.capacity <= CAPACITIES[-1] for r in own)
