@@ -214,7 +214,9 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_shuffles(docs: DataFrame, windows: DataFrame, keys: DataFrame, lengths: list[int], window: int, k: int) -> DataFrame:
-    plain = docs.where("doc_id is not null")
+    # a row's key, so that null and repeated ids keep their own hits; rows with one id and text share one
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    plain = docs.where("text is not null").select(F.col("row").alias("doc_id"), "text")
     seen = windows.select("m", "h1", "h2").distinct()
     hits = plain.mapInArrow(_fingerprints(window, k), "doc_id long, pos long, key long").join(keys, "key", "left_semi")
     near = plain.join(hits.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")), "doc_id").select("doc_id", "text", "pos").mapInArrow(_near(window, k), _PLACES)
@@ -225,7 +227,7 @@ def _by_shuffles(docs: DataFrame, windows: DataFrame, keys: DataFrame, lengths:
     spans = matched.groupBy("doc_id").agg(F.collect_set(F.struct("start", "m")).alias("spans"))
     items = matched.select("doc_id", "m", "h1", "h2").distinct().join(windows, ["m", "h1", "h2"]).select("doc_id", "item").distinct()
     items = items.groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = docs.join(spans, "doc_id", "left").join(items, "doc_id", "left")
+    out = docs.join(spans.withColumnRenamed("doc_id", "row"), "row", "left").join(items.withColumnRenamed("doc_id", "row"), "row", "left")
     return out.select("doc_id", "text", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_tally, HITS)
 
 
@@ -234,8 +236,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: i
 
     Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCII.  Items of fewer words than
     the window are one window; items without words or id are ignored; repeated items count once.  A null or empty
-    text has no words; every input row gives one row (a null doc_id only where the benchmark is broadcast keeps its
-    hits); other columns are ignored.
+    text has no words; every input row gives one row with its own hits, also under a null or repeated doc_id; other
+    columns are ignored.
     """
     k = min(k, window)
     docs = docs.select("doc_id", "text")

@@ -46,6 +46,14 @@ def test_contamination(spark, most):
     assert got == want and sum(w[4] for w in want.values()) > 10
 
 
+def test_contamination_of_repeated_and_null_ids(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    rows = [(1, item), (1, "nothing to see"), (1, "b " + item + " of two"), (1, item), (None, item), (None, "nor here"), (2, None)]
+    df, items = spark.createDataFrame(rows, TEXT), spark.createDataFrame([(7, item), (8, "of two")], "item_id long, text string")
+    one, two = (sorted(map(str, decontaminate(df, items, broadcast_windows=most).collect())) for most in (10**6, 0))
+    assert one == two and sum("contaminated=True" in x for x in one) == 4
+
+
 def test_contamination_of_nothing(spark):
     none, one = spark.createDataFrame([], TEXT), spark.createDataFrame([(1, "a b")], TEXT)
     empty = spark.createDataFrame([], "item_id long, text string")
