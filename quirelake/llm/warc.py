@@ -190,14 +190,15 @@ def _read(chunk: int, with_payload: bool):
 
 
 def revisit_plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: which page each equal payload of ``min_bytes`` or more revisits.
+    """page_id, url, html, payload_digest, refers_to: which page each equal payload of ``min_bytes`` or more revisits.
 
-    Only digests are shuffled; the largest page_id of each digest is joined back, and pages are not.
+    Only digests are shuffled; the largest page_id of each digest is joined back on page and digest, and pages are not.
     """
     marked = pages.select("page_id", "html").mapInArrow(_digests, DIGESTS)
     kept = stored(marked.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "original"), "repeated-payloads")
-    again = stored(marked.where(F.col("payload_bytes") >= min_bytes).join(kept, "payload_digest").where("page_id < original").select("page_id", F.col("original").alias("refers_to")).distinct(), "revisits")
-    return pages.select("page_id", "url", "html").join(again, "page_id", "left")
+    again = stored(marked.where(F.col("payload_bytes") >= min_bytes).join(kept, "payload_digest").where("page_id < original").select("page_id", "payload_digest", F.col("original").alias("refers_to")).distinct(), "revisits")
+    digested = pages.select("page_id", "url", "html").mapInArrow(_with_digest, "page_id long, url string, html string, payload_digest string")
+    return digested.join(again, ["page_id", "payload_digest"], "left")
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +216,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or new_path(spark, "warc")
     store, base = _filesystem(folder)
     store.create_dir(base, recursive=True)
-    planned = revisit_plan(pages, min_bytes).mapInArrow(_with_digest, "page_id long, url string, html string, refers_to long, payload_digest string")
-    return stored(planned.mapInArrow(_write(folder, date, chunk, level, file_bytes), FILES), "archives").withColumn("folder", F.lit(folder))
+    return stored(revisit_plan(pages, min_bytes).mapInArrow(_write(folder, date, chunk, level, file_bytes), FILES), "archives").withColumn("folder", F.lit(folder))
 
 
 def read_archives(files: DataFrame, chunk: int = 1 << 16, with_payload: bool = True) -> DataFrame:
@@ -230,12 +230,12 @@ def warc_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id is a response and
     the others revisit it; smaller payloads are all responses.  Digests and lengths of responses are computed from
-    the chunks read; a revisit has no payload of its own and takes them from the response it refers to.  A null html
-    is empty; a null page_id or url is written without it and is always a response; rows repeated under one page_id
-    with the same payload are all responses; other columns are ignored; an empty table gives no rows.
+    the chunks read; a revisit has no payload of its own and takes them from the response it refers to, named by page
+    and digest.  A null html is empty; a null page_id or url is written without it and is always a response; rows
+    repeated under one page_id are planned one by one by payload, equal ones are all responses or all revisits; other columns are ignored; an empty table gives no rows.
     """
     chunks = stored(read_archives(write_archives(pages, min_bytes=min_bytes), with_payload=False).where("last").drop("payload", "target_uri"), "records")
     own = chunks.where("record_type = 'response'").select("page_id", F.col("length_so_far").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    full = own.where("page_id is not null").groupBy("page_id").agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("x")).select(F.col("page_id").alias("refers_to"), "x.payload_bytes", "x.payload_digest")
-    revisits = chunks.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(full, "refers_to")
+    full = own.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = chunks.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.col("digest_claimed").alias("payload_digest")).join(full, ["refers_to", "payload_digest"])
     return own.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

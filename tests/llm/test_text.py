@@ -191,6 +191,15 @@ def test_archives(spark, least):
     assert sorted(r.record_type for r in warc_records(odd).collect()) == ["response"] * 3
 
 
+def test_pages_that_share_an_id(spark):
+    rows = [(1, "a", "old"), (1, "b", "new"), (2, "c", "old"), (3, "d", "new"), (3, "e", "third"), (1, "f", "fourth"), (1, "g", "new")]
+    got = warc_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    digest = lambda t: brute.warc([(0, None, t)], 0)[0][1]
+    want = [(1, 3, digest("old"), "revisit", 2), (1, 3, digest("new"), "revisit", 3), (1, 3, digest("new"), "revisit", 3), (1, 6, digest("fourth"), "response", None)]
+    want += [(2, 3, digest("old"), "response", None), (3, 3, digest("new"), "response", None), (3, 5, digest("third"), "response", None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_payloads_come_in_chunks(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     rows = read_archives(write_archives(df, chunk=1000), chunk=1000).orderBy("page_id", "chunk_no").collect()
