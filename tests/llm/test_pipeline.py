@@ -29,6 +29,14 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
 
 
+def test_rows_ingested_twice_stay_once(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (1, "another text of the same id here", "a"), (2, None, "a"), (2, None, "a"), (3, "one two three four five six", "a"), (4, "alone", "a"), (None, "x", "a"), (None, "x", "a")]
+    got = dict(p.STAGES)["ngram_jaccard_join"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[6], rows[7], rows[8]]))
+
+
 def test_every_operator_has_a_query():
     from quirelake.llm.queries import QUERIES
 
