@@ -41,7 +41,7 @@ def opened(length: int, histogram: np.ndarray, capacities: tuple[int, ...], cost
         room = c - length
         sizes = np.arange(min(room, len(histogram) - 1) + 1)
         fill = min(room, int((histogram[: len(sizes)] * sizes).sum()))
-        price = cost(c) / (length + fill)
+        price = cost(c) / max(1, length + fill)  # empty pieces alone fill nothing
         if least is None or price < least:
             best, least = c, price
     return best
