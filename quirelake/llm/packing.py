@@ -97,10 +97,8 @@ def _token_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                _, bounds = tokens.encode([x or "" for x in rows.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds) + 1)], ["doc_id", "length"])
+            for a, b, _, sizes in tokens.runs(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes + 1)], ["doc_id", "length"])
 
     return run
 

@@ -63,18 +63,12 @@ def _encode(path: str, end_id: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                part = [x or "" for x in texts[at : at + 256].to_pylist()]
-                ids, bounds = tokens.encode(part)
+            for a, b, ids, sizes in tokens.runs(batch.column(1)):
                 # the end mark follows each document's ids
-                full = np.insert(ids, bounds[1:], end_id).astype(kind)
-                ends = bounds[1:] + np.arange(1, len(part) + 1)
-                starts = np.r_[0, ends[:-1]] if len(part) else ends
-                blob = full.tobytes()
-                width = kind.itemsize
+                blob = pa.py_buffer(np.insert(ids, np.cumsum(sizes), end_id).astype(kind))
+                ends = np.r_[0, np.cumsum(sizes + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + 256], pa.array(ends - starts), pa.array([blob[a * width : b * width] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())], ["doc_id", "n_tokens", "ids"]
+                    [batch.column(0)[a:b], pa.array(sizes + 1), pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), blob])], ["doc_id", "n_tokens", "ids"]
                 )
 
     return run

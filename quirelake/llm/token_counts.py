@@ -119,8 +119,8 @@ def _count(path: str, find: Callable[[str], list[Edit]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
                 texts = [x or "" for x in rows.column(1).to_pylist()]
                 if find is None:
                     edits = [[(e["start"], e["end"], e["text"] or "") for e in x or ()] for x in rows.column(2).to_pylist()]
