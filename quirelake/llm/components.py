@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import stored
+from .work import scratch, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,10 +17,15 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; root is the smallest node it reaches.
+    """(node, root) for every node of ``edges(a, b)``, stored; root is the smallest node it reaches.
 
     Self loops, repeated and null-ended edges are ignored; no edges give no rows.
     """
+    with scratch(edges.sparkSession):
+        return stored(_components(edges), "roots", outer=True)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stored(e, "edges")
     state = _state(e)

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Bytes of text handled at once; one longer document is still handled whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -121,6 +121,17 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``starts``..``ends``, at most a chunk's bytes at once (or one longer word)."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, side="right")))
+        low = starts[at]
+        out[at:end] = Spans(table[data[low : ends[end - 1]]]).hash(starts[at:end] - low, ends[at:end] - low)
+        at = end
+    return out
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest value (rightmost on ties) of every ``width`` consecutive values."""
     n = len(values)

@@ -1,143 +1,275 @@
 """Repeated-phrase automata: remove words of passages that occur earlier in the corpus.
 
-``repeats`` confirms recurring passages and where each occurs first.  Every block of documents then compiles
-the passages that touch it into an Aho-Corasick automaton over word numbers (one shard of the whole phrase set,
-bounded by the block's size) and streams its documents through it to locate every occurrence.
+1. ``repeats`` confirms the passages that recur and tells where each occurs first.  Neighbouring contexts that occur
+   side by side wherever they occur become one passage, so that a text copied whole is one phrase.
+2. Documents are dealt into blocks by a hash.  Each distinct phrase goes once to every block that one of its
+   contexts touches; how often, and where in the block, is not recorded.
+3. The phrases of a block are compiled into an Aho-Corasick automaton over word numbers: one shard of the phrase set.
+   Every document of the block streams through it, and the automaton's hits alone tell where phrases occur.  A word is
+   removed if a hit covers it that is not the phrase's first place.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import accumulate, chain, compress, count, repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels as K
-from .repeats import Spans, _rows, repeated
+from .repeats import CONTEXTS, PLACE, Spans, _rows, anchored_contexts, contexts, cut_words, listed, moved, named, refined, solved, units
+from .work import scratch, stored
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+#: A phrase, its first place, and the place for which it is meant.
+PHRASES = "doc_id long, rid long, pos long, first_doc_id long, first_rid long, first_pos long, words binary"
+#: A phrase, its first place, and a context that it goes with.
+PASSAGES = "key long, c1 long, c2 long, first_doc_id long, first_rid long, first_pos long, words binary"
+_FIRST = ("first_doc_id", "first_rid", "first_pos")
+_ORDER = ("block", "kind", "doc_id", "rid", "first_doc_id", "first_rid", "shift", "first_pos")
+#: Anchors with a key that recurs, for each block: what bounds a block's phrases.  Small automata stay in a core's cache.
+BLOCK_ANCHORS = 1 << 12
 
 
 def earlier_spans(mode: Spans, lo: int, hi: int, rows: list[dict]) -> Iterator[tuple]:
-    """Marks of the spans, with ``lo`` to ``hi`` words before the anchor, that an earlier context holds too."""
-    rows = sorted(rows, key=lambda x: (x["doc_id"], x["pos"]))
+    """Phrases that a context shares with an earlier one, among spans with ``lo`` to ``hi`` words before the anchor."""
+    rows = sorted(rows, key=lambda x: (x["doc_id"], x["rid"], x["pos"]))
     first: dict[tuple[int, bytes], int] = {}
     for i, x in enumerate(rows):
-        left = x["left_part"].split()
-        words = left + x["right_part"].split()
-        open_mark = None  # end, start and earlier context of the mark under way
-        for a in range(max(lo, mode.length - (len(words) - len(left))), min(hi, len(left)) + 1):
-            at = len(left) - a
-            j = first.setdefault((a, b" ".join(words[at : at + mode.length])), i)
-            start = x["pos"] - a
-            if open_mark and open_mark[2] != j:
-                yield _mark(x, rows[open_mark[2]], *open_mark[:2])
-                open_mark = None
+        left, right = x["left_part"], x["right_part"]
+        data = left + b" " + right if left and right else left or right
+        bounds = [0, *accumulate(len(w) + 1 for w in data.split(b" "))]
+        anchor, n = left.count(b" ") + 1 if left else 0, len(bounds) - 1
+        shared = None  # words from, words to, and the earlier context of the phrase under way
+
+        def phrase() -> tuple:
+            earlier = rows[shared[2]]
+            return x["doc_id"], x["rid"], x["pos"] - anchor + shared[0], earlier["doc_id"], earlier["rid"], earlier["pos"] - anchor + shared[0], data[bounds[shared[0]] : bounds[shared[1]] - 1]
+
+        for a in range(max(lo, mode.length - (n - anchor)), min(hi, anchor) + 1):
+            begin = anchor - a
+            j = first.setdefault((a, data[bounds[begin] : bounds[begin + mode.length]].rstrip(b" ")), i)
+            if shared and shared[2] != j:
+                yield phrase()
+                shared = None
             if j != i:
-                open_mark = (open_mark[0] if open_mark else start + mode.length, start, j)
-        if open_mark:
-            yield _mark(x, rows[open_mark[2]], *open_mark[:2])
-
-
-def _mark(x: dict, earlier: dict, end: int, start: int) -> tuple:
-    return x["doc_id"], start, end, earlier["doc_id"], earlier["pos"] - x["pos"] + start
-
-
-def _passages(marks: list[dict], n: int) -> list[tuple[int, int, int, int]]:
-    """Marks on one diagonal (same first document, same shift) that overlap are one passage."""
-    out: list[tuple[int, int, int, int]] = []
-    for m in sorted(marks, key=lambda m: (m["first_doc"], m["first_start"] - m["start"], m["start"])):
-        start, end = m["start"], min(m["end"], n)
-        if out and out[-1][2] == m["first_doc"] and out[-1][3] - out[-1][0] == m["first_start"] - start and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]), *out[-1][2:])
-        else:
-            out.append((start, end, m["first_doc"], m["first_start"]))
-    return out
-
-
-def located(docs: list[int | None], marks: list[list[dict] | None], data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray | None]:
-    """For each document of a block the removed words as a mask, or None where nothing is removed."""
-    if not any(marks):
-        yield from (None for _ in docs)
-        return
-    starts, ends, ranges = K.words(data, offsets, K.SPACE)
-    _, numbers = np.unique(K.Spans(K.TABLES[0][data]).hash(starts, ends), return_inverse=True)
-    texts = [tuple(numbers[a:b].tolist()) for a, b in zip(ranges[:-1].tolist(), ranges[1:].tolist())]
-    phrases: dict[tuple, tuple[int, int]] = {}
-    for words, own in zip(texts, marks):
-        for start, end, first_doc, first_start in _passages(own or [], len(words)):
-            phrase, at = words[start:end], (first_doc, first_start)
-            phrases[phrase] = min(phrases.get(phrase, at), at)
-    shard = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase, (first_doc, first_start) in phrases.items():
-        shard.add_word(phrase, (len(phrase), first_doc, first_start))
-    shard.make_automaton()
-    for doc, words in zip(docs, texts):
-        mask = None
-        if doc is not None and words:
-            for last, (size, first_doc, first_start) in shard.iter(words):
-                start = last - size + 1
-                if (doc, start) > (first_doc, first_start):
-                    if mask is None:
-                        mask = np.zeros(len(words), bool)
-                    mask[start : last + 1] = True
-        yield mask
-
-
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, marks = batch.column(0).to_pylist(), batch.column(2)
-        for a, b, data, offsets in K.chunks(batch.column(1)):
-            out = []
-            raw = data.tobytes()
-            for i, mask in enumerate(located(ids[a:b], [marks[j].as_py() for j in range(a, b)], data, offsets)):
-                words = raw[offsets[i] : offsets[i + 1]].split()
-                n = len(words)
-                kept = words if mask is None else list(compress(words, (~mask).tolist()))
-                text = b" ".join(kept)
-                row = (ids[a + i], n, n - len(kept), hashlib.sha256(text).hexdigest())
-                out.append((*row, text.decode("utf-8", "replace")) if batch.num_columns > 3 else row)
-            yield _rows(out, RESULT + (", kept string" if batch.num_columns > 3 else ""))
-
-
-def phrase_dedup(docs: DataFrame, length: int = 20, k: int = 4, limit: int = 512, with_text: bool = False) -> DataFrame:
+                shared = (begin, shared[1] if shared else begin + mode.length, j)
+        if shared:
+            yield phrase()
+
+
+def passages(mode: Spans):
+    """(doc_id, rid, text, copies) -> the phrases that occur first in the document, from its contexts that have copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            for doc, rid, text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), listed(batch.column(3))):
+                if (doc, rid) in done:
+                    continue
+                done.add((doc, rid))
+                words, bounds = cut_words(text.as_py())
+                order = np.argsort(copies["pos"])
+                begin = end = last = None  # the passage under way, and its last context
+
+                def passage() -> tuple:
+                    return last[1], last[2], last[3], doc, rid, begin, words[bounds[begin] : bounds[end] - 1]
+
+                for x in zip(*(copies[c][order].tolist() for c in ("pos", "key", "c1", "c2", "n", "fp_low", "fp_high"))):
+                    fp = (x[5] + (x[6] << 32)) & (1 << 64) - 1
+                    starts, ends = max(0, x[0] - mode.reach), min(len(bounds) - 1, x[0] + mode.length)
+                    if last and starts <= end and x[4] == last[4] and moved(last[-1], x[0] - last[0]) == fp:
+                        end, last = ends, (*x, fp)
+                        continue
+                    if last:
+                        out.append(passage())
+                        size += len(out[-1][-1])
+                    begin, end, last = starts, ends, (*x, fp)
+                if last:
+                    out.append(passage())
+                    size += len(out[-1][-1])
+                if size > 4 << 20:
+                    yield _rows(out, PASSAGES)
+                    out, size = [], 0
+            yield _rows(out, PASSAGES)
+
+    return run
+
+
+def confirmed(docs: DataFrame, mode: Spans) -> tuple[DataFrame, Column]:
+    """(phrases, stored: block, the document for which one is meant, first place, how far that is off, words; the block of a row by its ``doc_id`` and ``rid``)."""
+    with scratch(docs.sparkSession):
+        phrases, block = _confirmed(docs, mode)
+        return stored(phrases, "phrases", outer=True), block
+
+
+def _confirmed(docs: DataFrame, mode: Spans) -> tuple[DataFrame, Column]:
+    spark = docs.sparkSession
+    anchored, seen, several = anchored_contexts(docs, mode)
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), anchored.count() // BLOCK_ANCHORS)
+    block = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(blocks)).cast("int").alias("block")
+    rows = named(docs)
+
+    copies = seen.where("n > 1").select("first.doc_id", "first.rid", F.struct("first.pos", "key", "c1", "c2", "n", "fp_low", "fp_high").alias("x"))
+    copies = copies.groupBy("doc_id", "rid").agg(F.collect_list("x").alias("copies"))
+    reps = seen.join(several, "key").select("first.doc_id", "first.rid", F.struct("first.pos", "key", "n", "d").alias("rep"))
+    reps = reps.groupBy("doc_id", "rid").agg(F.collect_list("rep").alias("reps"))
+    texts = stored(rows.join(copies.join(reps, ["doc_id", "rid"], "full"), ["doc_id", "rid"]), "first-texts")  # the texts travel once for both
+    touched = anchored.select(block, "key", "c1", "c2").distinct()
+    whole = stored(texts.where("copies is not null").select("doc_id", "rid", "text", "copies").mapInArrow(passages(mode), PASSAGES), "passages")
+    null = F.lit(None).cast("long")
+    phrases = touched.join(whole, ["key", "c1", "c2"]).select("block", null.alias("doc_id"), null.alias("rid"), *_FIRST, null.alias("shift"), "words")
+    shift = (F.col("first_pos") - F.col("pos")).alias("shift")
+
+    parts = stored(texts.where("reps is not null").select("doc_id", "rid", "text", "reps").mapInArrow(contexts(mode), CONTEXTS), "reps")
+    for small, alike in refined(parts, mode):
+        phrases = phrases.unionByName(solved(small, mode, earlier_spans, PHRASES).select(block, "doc_id", "rid", *_FIRST, shift, "words"))
+        if alike is not None:
+            left, right = F.col("left_part"), F.col("right_part")
+            words = F.when(F.octet_length(left) == 0, right).when(F.octet_length(right) == 0, left).otherwise(F.concat(left, F.lit(bytearray(b" ")), right)).alias("words")
+            later = alike.where("struct(doc_id, rid, pos) > struct(first_doc_id, first_rid, first_pos)")
+            phrases = phrases.unionByName(later.select(block, "doc_id", "rid", "first_doc_id", "first_rid", (F.col("first_pos") - units(mode, "left_part")).alias("first_pos"), shift, words))
+    return phrases, block
+
+
+class Shard:
+    """The phrases of one block, compiled when the first document asks."""
+
+    def __init__(self) -> None:
+        self.numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+        self.phrases: dict[tuple[int, ...], tuple[int, int, int]] = {}
+        self.automaton: ahocorasick.Automaton | None = None
+        self.open: tuple | None = None
+
+    def add(self, words: bytes, first: tuple[int, int, int], meant: tuple = ()) -> None:
+        """Phrases that are ``meant`` for one document, at one distance from their first place, come one after the
+        other; where they overlap, they are one phrase there as here."""
+        phrase = list(map(self.numbers.__getitem__, words.split()))
+        if self.open and meant and meant == self.open[2] and first[:2] == self.open[1][:2]:
+            at = first[2] - self.open[1][2]
+            if at <= len(self.open[0]):
+                self.open[0][at:] = phrase if at + len(phrase) >= len(self.open[0]) else phrase + self.open[0][at + len(phrase) :]
+                return
+        self.close()
+        self.open = phrase, first, meant
+
+    def close(self) -> None:
+        if self.open:
+            phrase, first = tuple(self.open[0]), self.open[1]
+            self.phrases[phrase] = min(self.phrases.get(phrase, first), first)
+            self.open = None
+
+    def compiled(self) -> ahocorasick.Automaton:
+        if self.automaton is None:
+            self.close()
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            facts = np.empty((len(self.phrases), 4), np.int64)  # how long each phrase is, and its first place
+            for i in range(len(facts)):
+                phrase, first = self.phrases.popitem()
+                facts[i] = len(phrase), *first
+                self.automaton.add_word(phrase, i)
+            self.automaton.make_automaton()
+            self.facts = facts
+        return self.automaton
+
+    def hits(self, doc: int, rid: int, words: list[bytes]) -> np.ndarray | None:
+        """Which words lie in phrases that occur earlier too; None where there are none."""
+        if not self.numbers:
+            return None
+        found = list(self.compiled().iter(tuple(map(self.numbers.get, words, repeat(0)))))
+        if not found:
+            return None
+        last, which = np.fromiter(chain.from_iterable(found), np.int64, 2 * len(found)).reshape(-1, 2).T
+        size, first_doc, first_rid, first_pos = self.facts[which].T
+        begin = last + 1 - size
+        later = (first_doc < doc) | (first_doc == doc) & ((first_rid < rid) | (first_rid == rid) & (first_pos < begin))
+        if not later.any():
+            return None
+        n = len(words) + 1
+        return np.cumsum(np.bincount(begin[later], minlength=n) - np.bincount(last[later] + 1, minlength=n))[:-1] > 0
+
+
+def streamed(keep: bool, schema: str):
+    """Rows (block, kind, row, phrase) in the order of ``_ORDER``, so a block's phrases before its documents -> the documents without what the hits cover.
+
+    With ``keep`` a document is returned with all its columns and a rewritten text, or not at all once it has lost
+    every word; else as its digest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, shard = None, Shard()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if here != blocks[a]:
+                    here, shard = blocks[a], Shard()
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    for doc, rid, shift, *first, words in zip(*(part.column(c).to_pylist() for c in ("doc_id", "rid", "shift", *_FIRST, "words"))):
+                        shard.add(words, tuple(first), () if doc is None else (doc, rid, shift))
+                else:
+                    row = part.column("row")
+                    for at in range(0, len(row), 256):
+                        yield stripped(shard, row.slice(at, 256))
+
+    def stripped(shard: Shard, row: pa.StructArray) -> pa.RecordBatch:
+        names = [f.name for f in row.type]
+        columns = row.flatten()
+        ids, rids, texts = (columns[names.index(c)].to_pylist() for c in ("doc_id", "__rid", "text"))
+        out, left = [], []
+        for i, (doc, rid, text) in enumerate(zip(ids, rids, texts)):
+            words = (text or "").encode().split()
+            mask = None if doc is None else shard.hits(doc, rid, words)
+            n = len(words)
+            if mask is not None:
+                words = list(compress(words, (~mask).tolist()))
+            if not keep:
+                kept = b" ".join(words)
+                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            elif mask is not None:
+                texts[i] = b" ".join(words).decode("utf-8", "replace")
+            left.append(mask is None or bool(words))
+        if not keep:
+            return _rows(out, schema)
+        text = names.index("text")
+        columns[text] = pa.array(texts, columns[text].type)
+        rest = [i for i, c in enumerate(names) if c != "__rid"]
+        return pa.RecordBatch.from_arrays([columns[i] for i in rest], [names[i] for i in rest]).filter(pa.array(left, pa.bool_()))
+
+    return run
+
+
+def _stream(docs: DataFrame, mode: Spans, columns: list[str], keep: bool, schema) -> DataFrame:
+    phrases, block = confirmed(docs, mode)
+    rows = docs.select(*[docs[c] for c in columns], F.xxhash64(docs["text"]).alias("__rid"))
+    of_row = F.struct(*rows.columns).alias("row")
+    rows = rows.select(F.struct("doc_id", F.col("__rid").alias("rid")).alias("__at"), of_row).select(F.col("__at.doc_id").alias("doc_id"), F.col("__at.rid").alias("rid"), "row").select(block, F.lit(1).alias("kind"), "row")
+    both = rows.unionByName(phrases.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions(*_ORDER).mapInArrow(streamed(keep, schema), schema)
+
+
+def phrase_dedup(docs: DataFrame, length: int = 20, k: int = 4, limit: int = 512) -> DataFrame:
     """Remove each word covered by a window of ``length`` words whose sequence also starts earlier.
 
     Earlier: in a smaller doc_id, or in the same document at an earlier start; judged on the input.  Words are runs
-    of bytes that are no ASCII white space.  One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the
-    kept words joined by one space), and with ``with_text`` that text as ``kept``.  A null text has no words; texts
-    under ``length`` words keep all; a row with a null doc_id is returned whole and takes no part; rows repeated
-    under one doc_id are one document; other columns are ignored; an empty table gives an empty result.
+    of bytes that are no ASCII white space.  One row per input row: doc_id, n_words, n_removed, kept_sha256 and text
+    (both of the kept words joined by one space).  A null text has no words; texts under ``length`` words keep all; a
+    row with a null doc_id is returned whole and takes no part; rows that share a doc_id but not a text are documents
+    of their own, ordered by a hash of the text; rows with equal doc_id and text are one document and all get its
+    result; other columns are ignored; an empty table gives an empty result.
     """
-    k = min(k, max(1, length // 2))
-    marks = repeated(docs, Spans("words", length, k, limit), earlier_spans, later_only=True)
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("marks"))
-    joined = docs.select("doc_id", "text").join(marks, "doc_id", "left")
-    if with_text:
-        return joined.select("doc_id", "text", "marks", F.lit(True).alias("keep")).mapInArrow(_strip, RESULT + ", kept string")
-    return joined.select("doc_id", "text", "marks").mapInArrow(_strip, RESULT)
-
-
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names[:-1]
-        at = names.index("text")
-        ids, marks = batch.column(names.index("doc_id")).to_pylist(), batch.column(batch.num_columns - 1)
-        for a, b, data, offsets in K.chunks(batch.column(at)):
-            texts, left = batch.column(at)[a:b].to_pylist(), []
-            raw = data.tobytes()
-            for i, mask in enumerate(located(ids[a:b], [marks[j].as_py() for j in range(a, b)], data, offsets)):
-                if mask is not None:
-                    texts[i] = b" ".join(compress(raw[offsets[i] : offsets[i + 1]].split(), (~mask).tolist())).decode("utf-8", "replace")
-                left.append(mask is None or not mask.all())
-            columns = [c[a:b] for c in batch.columns[:-1]]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(left))
+    mode = Spans("words", length, min(k, max(1, length // 2)), limit)
+    return _stream(docs, mode, ["doc_id", "text"], False, RESULT)
 
 
 def strip_phrases(docs: DataFrame, length: int = 20, k: int = 4, limit: int = 512) -> DataFrame:
@@ -145,7 +277,5 @@ def strip_phrases(docs: DataFrame, length: int = 20, k: int = 4, limit: int = 51
 
     A text that loses nothing stays as it is; a document that loses all its words goes.
     """
-    marks = repeated(docs, Spans("words", length, min(k, max(1, length // 2)), limit), earlier_spans, later_only=True)
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_start")).alias("__marks"))
-    joined = docs.join(marks, "doc_id", "left").select(*[docs[c] for c in docs.columns], "__marks")
-    return joined.mapInArrow(_rewrite, docs.schema)
+    mode = Spans("words", length, min(k, max(1, length // 2)), limit)
+    return _stream(docs, mode, docs.columns, True, docs.schema)

@@ -93,7 +93,7 @@ SQL: dict[str, str] = {
         words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
         gi AS (SELECT doc_id, unnest(g) AS i FROM gone),
         kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS t, count(*) AS n FROM words ANTI JOIN gi ON words.doc_id = gi.doc_id AND words.i = gi.i GROUP BY words.doc_id)
-        SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, (coalesce(len(w), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, (coalesce(len(w), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(t, '') AS text
         FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
     """,
     "op5_warc": r"""
@@ -114,6 +114,18 @@ SQL: dict[str, str] = {
         SELECT w.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM w LEFT JOIN pos ON w.id = pos.doc_id LEFT JOIN its ON w.id = its.doc_id WHERE item = 1
     """,
+    "op7_suffix_array_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+        win AS (SELECT r, i, md5_number(substr(h, 2 * i - 1, 800)) AS w FROM (SELECT r, h, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
+        again AS (SELECT r, i FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(*) > 1)),
+        runs AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY r, run),
+        cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS s, row_number() OVER (PARTITION BY r ORDER BY a DESC) = 1 AS final FROM runs),
+        part AS (SELECT cut.r, s, substr(h, 2 * s - 1, 2 * (a - s)) AS p FROM cut JOIN d ON cut.r = d.r UNION ALL SELECT cut.r, b, substr(h, 2 * b - 1) FROM cut JOIN d ON cut.r = d.r WHERE final),
+        whole AS (SELECT r, string_agg(p, '' ORDER BY s) AS k, string_agg(decode(unhex(regexp_replace(regexp_replace(p, '^([89AB][0-9A-F])+', ''), '(C[0-9A-F]|D[0-9A-F]|E[0-9A-F]|E[0-9A-F][89AB][0-9A-F]|F[0-9A-F]([89AB][0-9A-F]){0,2})$', ''))), '' ORDER BY s) AS t FROM part GROUP BY r),
+        size AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256, coalesce(t, decode(unhex(h))) AS text
+        FROM d LEFT JOIN whole ON d.r = whole.r LEFT JOIN size ON d.r = size.r
+    """,
     "op8_embedding_dedup": r"""
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),

@@ -13,8 +13,8 @@ decides: two equal spans always share an anchor at the same offset.  Hence
    apart as soon as the key reaches past it, and no group, pair list or row set grows beyond its input.
    At the last level a key is a whole span and nothing is left to compare.
 
-The result is a table of marks: in ``doc_id``, the units start..end are repeated; ``first_doc`` and
-``first_start`` place an earlier copy where one is asked for.
+A row is named by ``doc_id`` and ``rid``, a hash of its text: rows that share an id but not a text are documents
+of their own, in the order of (doc_id, rid).  Equal contexts are told by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,16 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .work import stored
 
-MARKS = "doc_id long, start long, end long, first_doc long, first_start long"
-ANCHORS = "doc_id long, pos long, key long, c1 long, c2 long"
-CONTEXTS = "key long, d long, lo int, hi int, n long, doc_id long, pos long, left_part binary, right_part binary"
-_CELLS = "key long, c1 long, c2 long, lo int, hi int, n long, doc_id long, pos long, left_part binary, right_part binary"
+ANCHORS = "doc_id long, rid long, pos long, key long, c1 long, c2 long, fp long"
+CONTEXTS = "key long, d long, lo int, hi int, n long, doc_id long, rid long, pos long, left_part binary, right_part binary"
+_CELLS = "key long, c1 long, c2 long, lo int, hi int, n long, doc_id long, rid long, pos long, left_part binary, right_part binary"
+PLACE = ("doc_id", "rid", "pos")
 
 
 @dataclass(frozen=True)
@@ -53,59 +53,116 @@ class Spans:
         return self.length - self.k
 
 
-def _units(mode: Spans, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if mode.unit == "bytes":
-        return K.TABLES[0][data], K.TABLES[1][data], offsets
-    starts, ends, ranges = K.words(data, offsets, K.SPACE)
-    hashes = K.Spans(K.TABLES[0][data]).hash(starts, ends)
-    return hashes, K.mix(hashes ^ np.uint64(0xA0761D6478BD642F)), ranges
-
-
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def anchors(mode: Spans) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _second(hashes: np.ndarray) -> np.ndarray:
+    return K.mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+
+
+def _parts(mode: Spans, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(first row, unit hashes, bounds of the documents, shift, low, high): positions from low to high are the part's own.
+
+    A document of more bytes than a chunk comes in parts that overlap by a span on either side, so an anchor is
+    chosen, and its context seen, as in the whole.
+    """
+    for a, b, data, offsets in K.chunks(texts):
+        if mode.unit == "words":
+            starts, ends, ranges = K.words(data, offsets, K.SPACE)
+            yield a, K.word_hashes(data, starts, ends, K.TABLES[0]), ranges, 0, 0, len(starts)
+        elif b - a == 1 and len(data) > K.CHUNK_BYTES:
+            for at in range(0, len(data), K.CHUNK_BYTES):
+                low, high = max(0, at - mode.length), min(len(data), at + K.CHUNK_BYTES + mode.length)
+                yield a, data[low:high], np.array([0, high - low]), low, at - low, min(len(data), at + K.CHUNK_BYTES) - low
+        else:
+            yield a, data, offsets, 0, 0, len(data)
+
+
+def anchors(mode: Spans, keys_only: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, rid, text) -> its anchors, with ``keys_only`` their keys alone.
+
+    ``fp``, summed over all places of a context, tells whether two contexts occur side by side wherever they occur:
+    a step to the right multiplies it by a constant.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in K.chunks(batch.column(1)):
-                one, two, ranges = _units(mode, data, offsets)
-                first, second = K.Spans(one), K.Spans(two, 1)
+            if not keys_only:
+                ids, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                names = K.mix(ids.view(np.uint64) ^ K.mix(rids.view(np.uint64)))
+            for a, units, ranges, shift, least, most in _parts(mode, batch.column(2)):
+                one = units if mode.unit == "words" else K.TABLES[0][units]
+                first = K.Spans(one)
                 grams = first.grams(mode.k)
                 pos, doc = K.winnow(grams, ranges, mode.k, mode.reach + 1)
+                if least or most < len(units):
+                    own = (pos >= least) & (pos < most)
+                    pos, doc = pos[own], doc[own]
                 if not len(pos):
                     continue
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([_long(grams[pos])], ["key"])
+                    continue
+                second = K.Spans(_second(units) if mode.unit == "words" else K.TABLES[1][units], 1)
                 low, high = ranges[doc], ranges[doc + 1]
                 start, end = np.maximum(low, pos - mode.reach), np.minimum(high, pos + mode.length)
                 # where the anchor lies in its context belongs to the context
                 c1 = first.hash(start, end) + K.mix((pos - start).astype(np.uint64) + np.uint64(7))
-                yield pa.RecordBatch.from_arrays(
-                    [_long(ids[a:b][doc]), _long(pos - low), _long(grams[pos]), _long(c1), _long(second.hash(start, end))],
-                    ["doc_id", "pos", "key", "c1", "c2"],
-                )
+                at = pos - low + shift
+                fp = names[a + doc] * K.powers(int(at.max()))[0][at]
+                yield pa.RecordBatch.from_arrays([_long(ids[a + doc]), _long(rids[a + doc]), _long(at), _long(grams[pos]), _long(c1), _long(second.hash(start, end)), _long(fp)], [x.split()[0] for x in ANCHORS.split(", ")])
 
     return run
 
 
+def moved(fp: int, steps: int) -> int:
+    """The sum of ``fp`` over places that all lie ``steps`` units to the right."""
+    return fp * pow(K.BASES[0], steps, 1 << 64) & (1 << 64) - 1
+
+
+def cut_words(text: str | None) -> tuple[bytes, np.ndarray]:
+    """(the words joined by one space; where each begins, and one past the end)."""
+    joined = b" ".join((text or "").encode().split())
+    return joined, np.r_[0, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1, len(joined) + 1] if joined else np.zeros(1, np.int64)
+
+
+def listed(lists: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each row's structs; their fields are numbers."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat = lists.flatten()
+    columns = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    for begin, end in zip([0, *ends], ends):
+        yield {k: v[begin:end] for k, v in columns.items()}
+
+
 def contexts(mode: Spans) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text, reps) -> one row for each representative, with the units left and right of its anchor."""
+    """(doc_id, rid, text, reps) -> one row for each representative, with the units left and right of its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()  # a row that stands in the table twice is asked once
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text, reps in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data = (text.as_py() or "").encode()
-                items = data.split() if mode.unit == "words" else data
-                for r in reps.as_py():
-                    p = r["pos"]
-                    left, right = items[max(0, p - mode.reach) : p], items[p : p + mode.length]
-                    if mode.unit == "words":
-                        left, right = b" ".join(left), b" ".join(right)
-                    rows.append((r["key"], r["d"], 0, mode.reach, r["n"], doc, p, left, right))
-                    size += len(left) + len(right)
-                    if size > 8 << 20:
+            for doc, rid, text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), listed(batch.column(3))):
+                if (doc, rid) in done:
+                    continue
+                done.add((doc, rid))
+                pos = reps["pos"]
+                if mode.unit == "words":
+                    data, bounds = cut_words(text.as_py())
+                    most = len(bounds) - 1
+                    left = (bounds[np.maximum(0, pos - mode.reach)], np.maximum(0, bounds[pos] - 1))
+                    right = (bounds[pos], bounds[np.minimum(most, pos + mode.length)] - 1)
+                else:
+                    data = (text.as_py() or "").encode()
+                    left, right = (np.maximum(0, pos - mode.reach), pos), (pos, pos + mode.length)
+                for key, d, n, p, a, b, c, e in zip(*(x.tolist() for x in (reps["key"], reps["d"], reps["n"], pos, *left, *right))):
+                    rows.append((key, d, 0, mode.reach, n, doc, rid, p, data[a:b], data[c:e]))
+                    size += b - a + e - c
+                    if size > 4 << 20:
                         yield _rows(rows, CONTEXTS)
                         rows, size = [], 0
             if rows:
@@ -145,9 +202,9 @@ def _halves(mode: Spans) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     key = xxhash.xxh3_64_intdigest(core, seed=lo * 65536 + hi)
                     whole = xxhash.xxh3_128_digest(near + b"\0" + far, seed=most)
                     key, (c1, c2) = struct.unpack("q", struct.pack("Q", key))[0], struct.unpack("qq", whole)
-                    rows.append((key, c1, c2, lo, hi, x["n"], x["doc_id"], x["pos"], near, far))
+                    rows.append((key, c1, c2, lo, hi, x["n"], x["doc_id"], x["rid"], x["pos"], near, far))
                     size += len(near) + len(far)
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield _rows(rows, _CELLS)
                     rows, size = [], 0
             if rows:
@@ -156,69 +213,85 @@ def _halves(mode: Spans) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-#: Takes (mode, lo, hi, rows of one key) and yields marks; rows are dicts with n, doc_id, pos, left_part, right_part.
+#: Takes (mode, lo, hi, rows of one key) and yields rows; a row of the key is a dict with n, the place, left_part, right_part.
 Solver = Callable[[Spans, int, int, list[dict]], Iterator[tuple]]
 
 
-def _solved(mode: Spans, solver: Solver) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def solved(rows: DataFrame, mode: Spans, solver: Solver, schema: str) -> DataFrame:
+    """What the solver makes of each key's contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for lo, hi, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 out.extend(solver(mode, lo, hi, group.as_py()))
-            yield _rows(out, MARKS)
+                if len(out) > 20_000:
+                    yield _rows(out, schema)
+                    out = []
+            yield _rows(out, schema)
+
+    groups = rows.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("n", *PLACE, "left_part", "right_part")).alias("g"))
+    return groups.select("lo", "hi", "g").mapInArrow(run, schema)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, text) of the rows that take part."""
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("rid"), "text")
+
+
+def at(place: str) -> list[Column]:
+    return [F.col(f"{place}.{c}").alias(f"first_{c}") for c in PLACE]
 
-    return run
 
+def anchored_contexts(docs: DataFrame, mode: Spans) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(anchors whose key recurs, their contexts with a count and the first place, keys with several contexts); all stored."""
+    docs = named(docs)
+    keys = docs.mapInArrow(anchors(mode, keys_only=True), "key long")
+    keys = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    anchored = stored(docs.mapInArrow(anchors(mode), ANCHORS).join(keys, "key", "left_semi").select(*[x.split()[0] for x in ANCHORS.split(", ")]), "anchors")
+    halves = (F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))  # sums of 32 bits don't overflow
+    seen = anchored.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first"), F.sum(halves[0]).alias("fp_low"), F.sum(halves[1]).alias("fp_high"))
+    seen = stored(seen, "contexts")
+    return anchored, seen, stored(seen.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"), "several")
 
-def _solve(rows: DataFrame, mode: Spans, solver: Solver) -> DataFrame:
-    groups = rows.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("n", "doc_id", "pos", "left_part", "right_part")).alias("g"))
-    return groups.select("lo", "hi", "g").mapInArrow(_solved(mode, solver), MARKS)
 
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``rows`` with the columns of their group, ``n`` of which are among ``rows``.
+
+    A group with a thousandth of all rows or more is broadcast, so its rows stay where they are: there are at most a
+    thousand of them.  The others are too small to burden a task.
+    """
+    least = max(1000, rows.count() // 1000)
+    hot = groups.where(F.col(n) >= least)
+    if hot.isEmpty():
+        return rows.join(groups, on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(n) < least), on))
 
-def repeated(docs: DataFrame, mode: Spans, solver: Solver, later_only: bool) -> DataFrame:
-    """Marks of all repeated spans of ``docs(doc_id, text)``.
 
-    ``later_only``: a span's first occurrence (smallest doc_id, then position) is not marked, and each mark
-    names an earlier copy.  Documents whose id is null take no part.
+def refined(rows: DataFrame, mode: Spans) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """Level by level: the contexts of keys small enough for the solver; the halved contexts that are not alone, with their first place.
+
+    A halved context runs from its furthest to its nearest span, both inside the document.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    found = docs.mapInArrow(anchors(mode), ANCHORS)
-    keys = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    anchored = stored(found.join(keys, "key", "left_semi").select("doc_id", "pos", "key", "c1", "c2"), "anchors")
-    seen = stored(anchored.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "contexts")
-    several = stored(seen.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"), "several")
-
-    copies = seen.where("n > 1").select("key", "c1", "c2", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    start = F.greatest(F.lit(0), F.col("pos") - mode.reach)
-    alike = anchored.join(copies, ["key", "c1", "c2"])
-    if later_only:
-        alike = alike.where("doc_id > first_doc or (doc_id = first_doc and pos > first_pos)")
-    marks = alike.select("doc_id", start.alias("start"), (F.col("pos") + mode.length).alias("end"), "first_doc", (F.col("first_pos") - F.col("pos") + start).alias("first_start"))
-
-    reps = seen.join(several, "key").select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.pos").alias("pos"), "key", "n", "d").alias("rep"))
-    reps = reps.groupBy("doc_id").agg(F.collect_list("rep").alias("reps"))
-    rows = stored(docs.join(reps, "doc_id").select("doc_id", "text", "reps").mapInArrow(contexts(mode), CONTEXTS), "reps")
-    marks = marks.unionByName(_solve(rows.where(F.col("d") <= mode.limit), mode, solver))
-
-    crowded = rows.where(F.col("d") > mode.limit)
-    while not crowded.isEmpty():
+    alike = None
+    while True:
+        yield rows.where(F.col("d") <= mode.limit), alike
+        crowded = rows.where(F.col("d") > mode.limit)
+        if crowded.isEmpty():
+            return
         cells = stored(crowded.mapInArrow(_halves(mode), _CELLS), "cells")
-        seen = stored(cells.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "contexts")
+        seen = stored(cells.groupBy("key", "c1", "c2").agg(F.sum("n").alias("all_n"), F.count("*").alias("rows"), F.min(F.struct(*PLACE)).alias("first")), "contexts")
         several = stored(seen.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"), "several")
-        first = seen.select("key", "c1", "c2", F.col("n").alias("all_n"), F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-        # a cell's context runs from its furthest to its nearest span, both inside the document
-        width = F.octet_length if mode.unit == "bytes" else lambda c: F.when(F.octet_length(c) == 0, 0).otherwise(F.octet_length(c) - F.octet_length(F.replace(c.cast("string"), F.lit(" "), F.lit(""))) + 1)
-        cells = stored(cells.join(first, ["key", "c1", "c2"]), "cells-first")
+        cells = stored(join_hot(cells, seen.select("key", "c1", "c2", "all_n", "rows", *at("first")), ["key", "c1", "c2"], "rows").drop("rows"), "cells-first")
         alike = cells.where("all_n > 1")
-        if later_only:
-            alike = alike.where("doc_id > first_doc or (doc_id = first_doc and pos > first_pos)")
-        before = F.col("pos") - width(F.col("left_part")).cast("long")
-        marks = marks.unionByName(
-            alike.select("doc_id", before.alias("start"), (F.col("pos") + width(F.col("right_part"))).cast("long").alias("end"), "first_doc", (F.col("first_pos") - F.col("pos") + before).alias("first_start"))
-        )
-        reps = cells.where("doc_id = first_doc and pos = first_pos").dropDuplicates(["key", "c1", "c2"]).join(several, "key")
-        rows = stored(reps.select("key", "d", "lo", "hi", F.col("all_n").alias("n"), "doc_id", "pos", "left_part", "right_part"), "reps")
-        marks = marks.unionByName(_solve(rows.where(F.col("d") <= mode.limit), mode, solver))
-        crowded = rows.where(F.col("d") > mode.limit)
-    return marks
+        reps = cells.where("doc_id = first_doc_id and rid = first_rid and pos = first_pos").join(several, "key")
+        rows = stored(reps.select("key", "d", "lo", "hi", F.col("all_n").alias("n"), *PLACE, "left_part", "right_part"), "reps")
+
+
+def units(mode: Spans, part: str) -> Column:
+    """How many units a part has; words are joined by one space."""
+    size = F.octet_length(part)
+    if mode.unit == "bytes":
+        return size.cast("long")
+    return F.when(size == 0, 0).otherwise(size - F.octet_length(F.replace(F.col(part).cast("string"), F.lit(" "), F.lit(""))) + 1).cast("long")

@@ -3,7 +3,8 @@
 ``repeats`` brings together the contexts that share an anchor; here their suffixes (to the right of the anchor,
 and mirrored to the left) are put in order: a multikey quicksort down to a shallow depth, then blind tries for
 the groups that still agree there.  Adjacent longest common prefixes then tell, for every offset at which they
-change, which spans of ``length`` bytes are equal; equality is decided on bytes, never on a hash alone.
+change, which spans of ``length`` bytes are equal.  Contexts that are equal as a whole are told by 128-bit hashes and
+merged before; all that differs is compared byte by byte.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Spans, _rows, repeated
+from .repeats import CONTEXTS, PLACE, Spans, _rows, anchored_contexts, contexts, join_hot, named, refined, solved, units
+from .work import scratch, stored
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+MARKS = "doc_id long, rid long, start long, end long"
 SHALLOW = 24
 
 
@@ -121,11 +124,14 @@ def equal_spans(mode: Spans, lo: int, hi: int, rows: list[dict]) -> Iterator[tup
         reach, along = common_prefix(*left), common_prefix(*right)
         if reach + along >= length and reach >= lo:
             for x in rows:
-                yield x["doc_id"], x["pos"] - reach, x["pos"] + along, None, None
+                yield x["doc_id"], x["rid"], x["pos"] - reach, x["pos"] + along
         return
     m = len(rows)
     ranks, shared = [], []
-    for strings, agreed in ((left, 0), (right, 0)):
+    for strings in (left, right):
+        agreed = len(strings[0])  # all begin alike: to the right with the anchor, in a halved group on both sides
+        for x in strings[1:]:
+            agreed = min(agreed, len(x)) if strings[0][:agreed] == x[:agreed] else common_prefix(strings[0][:agreed], x)
         order, common = deep_shallow(strings, agreed)
         ranks.append(np.asarray(order))
         shared.append(np.asarray(common))
@@ -140,46 +146,69 @@ def equal_spans(mode: Spans, lo: int, hi: int, rows: list[dict]) -> Iterator[tup
             continue
         _, which, count = np.unique(part[0, ok] * (m + 1) + part[1, ok], return_inverse=True, return_counts=True)
         for i in ok[count[which] > 1].tolist():
-            yield rows[i]["doc_id"], rows[i]["pos"] - a, rows[i]["pos"] - a + length, None, None
+            yield rows[i]["doc_id"], rows[i]["rid"], rows[i]["pos"] - a, rows[i]["pos"] - a + length
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        out, size = [], 0
         for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             data = (text.as_py() or "").encode()
-            kept, at, removed, spans = hashlib.sha256(), 0, 0, 0
+            kept, at, removed, spans = [], 0, 0, 0
             end = None
             for a, b in sorted((x["start"], min(x["end"], len(data))) for x in marks.as_py() or ()):
                 if end is None or a > end:
                     if end is not None:
                         removed, spans, at = removed + end - start, spans + 1, end
-                    kept.update(data[at:a])
+                    kept.append(data[at:a])
                     start, end = a, b
                 else:
                     end = max(end, b)
             if end is not None:
                 removed, spans, at = removed + end - start, spans + 1, end
-            kept.update(data[at:])
-            out.append((doc, len(data), removed, spans, kept.hexdigest()))
+            kept.append(data[at:])
+            whole = b"".join(kept)
+            left = "".join(x.decode("utf-8", "ignore") for x in kept)
+            out.append((doc, len(data), removed, spans, hashlib.sha256(whole).hexdigest(), left))
+            size += len(whole)
+            if size > 4 << 20:
+                yield _rows(out, RESULT)
+                out, size = [], 0
         yield _rows(out, RESULT)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, k: int = 64, limit: int = 256) -> DataFrame:
-    """(doc_id, start, end) of byte ranges covered by ``length``-byte strings that start anywhere else too."""
+    """(doc_id, rid, start, end) of byte ranges covered by ``length``-byte strings that start anywhere else too.
+
+    ``rid`` is the row's text hash, ``xxhash64(text)``.
+    """
     if length <= 2 * k:
         k = max(1, length // 4)
-    return repeated(docs, Spans("bytes", length, k, limit), equal_spans, later_only=False).select("doc_id", "start", "end")
+    mode = Spans("bytes", length, k, limit)
+    anchored, seen, several = anchored_contexts(docs, mode)
+    copied = join_hot(anchored.select(*PLACE, "key", "c1", "c2"), seen.where("n > 1").select("key", "c1", "c2", "n"), ["key", "c1", "c2"], "n")
+    marks = copied.select("doc_id", "rid", F.greatest(F.lit(0), F.col("pos") - mode.reach).alias("start"), (F.col("pos") + mode.length).alias("end"))
+    reps = seen.join(several, "key").select("first.doc_id", "first.rid", F.struct("first.pos", "key", "n", "d").alias("rep"))
+    reps = reps.groupBy("doc_id", "rid").agg(F.collect_list("rep").alias("reps"))
+    rows = stored(named(docs).join(reps, ["doc_id", "rid"]).select("doc_id", "rid", "text", "reps").mapInArrow(contexts(mode), CONTEXTS), "reps")
+    for small, alike in refined(rows, mode):
+        marks = marks.unionByName(solved(small, mode, equal_spans, MARKS))
+        if alike is not None:
+            marks = marks.unionByName(alike.select("doc_id", "rid", (F.col("pos") - units(mode, "left_part")).alias("start"), (F.col("pos") + units(mode, "right_part")).alias("end")))
+    return marks
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, k: int = 64, limit: int = 256) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else in ``docs``.
 
-    One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.  Strings are
-    judged on the input and never cross documents.  A null text is empty; texts under ``length`` bytes keep all;
-    a row with a null doc_id is returned whole and takes no part; other columns are ignored; an empty table
-    gives an empty result.  A row repeated under its own doc_id counts as another occurrence.
+    One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining
+    bytes), text (the remaining bytes, less characters of which a part was removed).  Strings are judged on the input
+    and never cross documents.  A null text is empty; texts under ``length`` bytes keep all; a row with a null doc_id
+    is returned whole and takes no part; other columns are ignored; an empty table gives an empty result.  Every row
+    is a document of its own, whether or not its id or its text occurs again.
     """
-    marks = repeated_bytes(docs, length, k, limit)
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
-    return docs.select("doc_id", "text").join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(_cut, RESULT)
+    with scratch(docs.sparkSession):
+        marks = repeated_bytes(docs, length, k, limit).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+        marks = stored(marks, "marks", outer=True)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), "text")
+    return rows.join(marks, ["doc_id", "rid"], "left").select("doc_id", "text", "marks").mapInArrow(_cut, RESULT)

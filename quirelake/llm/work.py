@@ -9,10 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+#: While a table is stored: shuffle files go when its query ends, since the table doesn't need them any more; and joins
+#: hash instead of sorting where every partition of the smaller side has turned out to fit.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +45,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside go at the end, but for those stored with ``outer``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage and pins non-repeatable choices."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    if len(_SCOPES) > outer:
+        _SCOPES[-1 - outer].append(path)
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
+    try:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
