@@ -256,3 +256,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """``benchmark_hits`` with n_items and contaminated: some word is hit, and at least one in ``share``."""
     hits = benchmark_hits(docs, benchmark, window, broadcast_windows=broadcast_windows)
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` with all columns, less the rows that are contaminated; told by a 64-bit hash of id and text, so that rows
+    under one id are judged each by its own text."""
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    hits = decontaminate(keyed.select(F.col("__row").alias("doc_id"), "text"), benchmark)
+    gone = hits.where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)

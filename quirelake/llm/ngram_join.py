@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .repeats import _long
-from .work import stored
+from .repeats import _long, join_hot
+from .work import scratch, stored
 
-SIGNATURES = "doc_id long, n long, c1 long, c2 long, bands array<long>"
-SETS = "doc_id long, n long, copies long, cluster long, task string, side int, grams binary"
-LINKS = "doc_id long, links long, leader long"
+SIGNATURES = "doc_id long, rid long, n long, c1 long, c2 long, bands array<long>"
+SETS = "node long, n long, copies long, cluster long, task string, side int, grams binary"
+LINKS = "node long, links long, leader long"
 
 
 def band_count(threshold: float, rows: int, recall: float) -> int:
@@ -58,8 +58,8 @@ def _signatures(size: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, hashes, bounds in gram_sets(batch.column(1), size):
+            ids, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, b, hashes, bounds in gram_sets(batch.column(2), size):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 if not len(full):
@@ -72,23 +72,23 @@ def _signatures(size: int, bands: int, rows: int):
                     out[:, j // rows] = K.mix(out[:, j // rows] + least + np.uint64(j // rows + 1))
                 flat = pa.array(out.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([_long(ids[a:b][full]), _long(n[full]), _long(c1), _long(c2), lists], ["doc_id", "n", "c1", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([_long(ids[a:b][full]), _long(rids[a:b][full]), _long(n[full]), _long(c1), _long(c2), lists], ["doc_id", "rid", "n", "c1", "c2", "bands"])
 
     return run
 
 
 def _sets(size: int):
-    """(doc_id, text, members) -> the document's set, once for each task that needs it."""
+    """(text, members) -> the document's set, once for each task that needs it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SETS.split(", ")]
         for batch in batches:
-            for a, b, hashes, bounds in gram_sets(batch.column(1), size):
+            for a, b, hashes, bounds in gram_sets(batch.column(0), size):
                 rows = []
                 for i in range(a, b):
                     grams = hashes[bounds[i - a] : bounds[i - a + 1]].tobytes()
-                    for x in batch.column(2)[i].as_py():
-                        rows.append((batch.column(0)[i].as_py(), x["n"], x["copies"], x["cluster"], x["task"], x["side"], grams))
+                    for x in batch.column(1)[i].as_py():
+                        rows.append((x["node"], x["n"], x["copies"], x["cluster"], x["task"], x["side"], grams))
                 types = [pa.int64()] * 4 + [pa.string(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
@@ -132,8 +132,8 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in batch.column(0):
-                rows = group.as_py()
-                ids, sides, copies = [x["doc_id"] for x in rows], np.array([x["side"] for x in rows]), np.array([x["copies"] for x in rows], np.int64)
+                rows = list({x["node"]: x for x in group.as_py()}.values())  # a row that stands in the table twice is one
+                ids, sides, copies = [x["node"] for x in rows], np.array([x["side"] for x in rows]), np.array([x["copies"] for x in rows], np.int64)
                 two = sides[0] != 2  # a pair of blocks: only links across
                 links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
 
@@ -152,13 +152,13 @@ def _verify(threshold: float):
                         if a != b:
                             a, b = (a, b) if ids[a] < ids[b] else (b, a)
                             root[b] = a
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _long(links), pa.array([ids[find(i)] for i in range(len(rows))], pa.int64())], ["doc_id", "links", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _long(links), pa.array([ids[find(i)] for i in range(len(rows))], pa.int64())], ["node", "links", "leader"])
 
     return run
 
 
 def _tasks(members: DataFrame, threshold: float, block_docs: int, block_grams: int) -> DataFrame:
-    """(doc_id, n, copies, cluster, task, side): which tasks each member of a cluster goes to; side 2 meets its own.
+    """(node, n, copies, cluster, task, side): which tasks each member of a cluster goes to; side 2 meets its own.
 
     A cluster within a block is one task.  A larger one is cut by set size into classes a factor of 1/threshold
     apart, so that links only join a class to itself or the next, and each class into blocks.
@@ -166,14 +166,14 @@ def _tasks(members: DataFrame, threshold: float, block_docs: int, block_grams: i
     size = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
     size = stored(size.select("cluster", ((F.col("docs") <= block_docs) & (F.col("grams") <= block_grams)).alias("small")), "cluster-sizes")
     rows = members.join(size, "cluster")
-    small = rows.where("small").select("doc_id", "n", "copies", "cluster", F.lit("all").alias("task"), F.lit(2).alias("side"))
+    small = rows.where("small").select("node", "n", "copies", "cluster", F.lit("all").alias("task"), F.lit(2).alias("side"))
     large = rows.where("not small").withColumn("c", F.floor(F.log("n") / F.lit(-math.log(threshold)) + 1e-9).cast("int"))
     classes = large.groupBy("cluster", "c").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks"))
     classes = stored(classes, "classes")
     up = classes.select("cluster", (F.col("c") - 1).alias("c"), F.col("blocks").alias("above"))
     down = classes.select("cluster", (F.col("c") + 1).alias("c"), F.col("blocks").alias("below"))
     plan = stored(classes.join(up, ["cluster", "c"], "left").join(down, ["cluster", "c"], "left"), "plan")
-    large = large.join(plan, ["cluster", "c"]).withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    large = large.join(plan, ["cluster", "c"]).withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     name = lambda c, s, d, t: F.concat_ws(":", c, s, d, t)
     c, s = F.col("c"), F.col("s")
     own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(name(c, F.least(s, t), c, F.greatest(s, t)).alias("task"), F.when(s == t, 2).when(s < t, 0).otherwise(1).alias("side")))
@@ -183,7 +183,7 @@ def _tasks(members: DataFrame, threshold: float, block_docs: int, block_grams: i
     below = F.when(F.col("below").isNull(), F.array().cast("array<struct<task:string,side:int>>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("below", F.lit(1)) - 1), lambda t: F.struct(name(c - 1, t, c, s).alias("task"), F.lit(1).alias("side")))
     )
-    large = large.select("doc_id", "n", "copies", "cluster", F.explode(F.concat(own, above, below)).alias("t")).select("doc_id", "n", "copies", "cluster", "t.task", "t.side")
+    large = large.select("node", "n", "copies", "cluster", F.explode(F.concat(own, above, below)).alias("t")).select("node", "n", "copies", "cluster", "t.task", "t.side")
     return small.unionByName(large)
 
 
@@ -196,27 +196,56 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int
     included); class_id is the smallest doc_id reachable by links; kept says that it is the document's own id.
     Candidate search finds a pair at the threshold with probability ``recall`` or more; what is linked is verified.
     A null text has no words; a row with a null doc_id links with nothing, has a null class_id and is kept; other
-    columns are ignored; an empty table gives an empty result; rows repeated under one doc_id count as copies.
+    columns are ignored; an empty table gives an empty result.  Rows that share a doc_id are documents of their own and
+    link like others; of those with the smallest doc_id of a class the ones with the smallest text hash are kept.
     """
-    docs = docs.select("doc_id", "text")
+    return classes(docs, size, threshold, rows, recall, block_docs, block_grams).drop("rid")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class, and one of rows with equal doc_id and text; rows with a null id all stay."""
+    found = classes(docs, **options).select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"), "kept")
+    gone = found.where(~F.col("kept")).select("__id", "__rid").distinct()
+    often = stored(found.where("__id is not null").groupBy("__id", "__rid").count().where("count > 1").select("__id", "__rid"), "repeated-rows")
+    rows = docs.withColumns({"__id": F.col("doc_id"), "__rid": F.xxhash64("text")})
+    left = rows.join(gone, ["__id", "__rid"], "left_anti")
+    if often.isEmpty():
+        return left.select(*docs.columns)
+    again = left.join(often, ["__id", "__rid"], "left_semi").dropDuplicates(["__id", "__rid"])
+    return left.join(often, ["__id", "__rid"], "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
+def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int = 5, recall: float = 0.999, block_docs: int = 256, block_grams: int = 400_000) -> DataFrame:
+    """``ngram_join`` with each row's text hash as ``rid``."""
+    with scratch(docs.sparkSession):
+        return stored(_classes(docs, size, threshold, rows, recall, block_docs, block_grams), "classes", outer=True)
+
+
+def _classes(docs: DataFrame, size: int, threshold: float, rows: int, recall: float, block_docs: int, block_grams: int) -> DataFrame:
+    docs = docs.select("doc_id", F.xxhash64("text").alias("rid"), "text")
     bands = band_count(threshold, rows, recall)
     signed = stored(docs.where("doc_id is not null").mapInArrow(_signatures(size, bands, rows), SIGNATURES), "signatures")
-    copies = stored(signed.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "bands")).alias("x")), "copies")
-    reps = copies.select(F.col("copy_id").alias("doc_id"), "n", "copies", F.posexplode("x.bands").alias("band", "hash"))
-    shared = stored(reps.groupBy("band", "hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("band", "hash", "least"), "buckets")
-    stars = reps.join(shared, ["band", "hash"]).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    clusters = stored(components(stars), "clusters")
-    members = stored(copies.join(clusters, F.col("copy_id") == F.col("node")).select(F.col("copy_id").alias("doc_id"), "n", "copies", F.col("root").alias("cluster")), "members")
-    wanted = _tasks(members, threshold, block_docs, block_grams).groupBy("doc_id").agg(F.collect_list(F.struct("n", "copies", "cluster", "task", "side")).alias("members"))
-    sets = docs.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", "text", "members").mapInArrow(_sets(size), SETS)
-    groups = sets.groupBy("cluster", "task").agg(F.collect_list(F.struct("doc_id", "copies", "side", "grams")).alias("g"))
+    copies = signed.groupBy("n", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "bands")).alias("x"))
+    copies = copies.select("n", "c1", "c2", "copies", F.col("x.doc_id").alias("copy_id"), F.col("x.rid").alias("copy_rid"), F.col("x.bands").alias("bands"), F.monotonically_increasing_id().alias("node"))
+    copies = stored(copies, "copies")
+    reps = copies.select("node", F.posexplode("bands").alias("band", "hash"))
+    shared = stored(reps.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1").select("band", "hash", "least"), "buckets")
+    stars = reps.join(shared, ["band", "hash"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    clusters = components(stars)
+    members = stored(copies.join(clusters, "node").select("node", "n", "copies", F.col("root").alias("cluster")), "members")
+    wanted = _tasks(members, threshold, block_docs, block_grams).groupBy("node").agg(F.collect_list(F.struct("node", "n", "copies", "cluster", "task", "side")).alias("members"))
+    wanted = wanted.join(copies.select("node", F.col("copy_id").alias("doc_id"), F.col("copy_rid").alias("rid")), "node").drop("node")
+    sets = docs.join(wanted, ["doc_id", "rid"]).select("text", "members").mapInArrow(_sets(size), SETS)
+    groups = sets.groupBy("cluster", "task").agg(F.collect_list(F.struct("node", "copies", "side", "grams")).alias("g"))
     links = stored(groups.select("g").mapInArrow(_verify(threshold), LINKS), "links")
-    roots = components(links.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
-    counts = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    per_copy = copies.select("n", "c1", "c2", "copy_id", "copies").join(counts.withColumnRenamed("doc_id", "copy_id"), "copy_id", "left").join(roots.withColumnRenamed("node", "copy_id"), "copy_id", "left")
-    found = signed.select("doc_id", "n", "c1", "c2").join(stored(per_copy, "per-copy"), ["n", "c1", "c2"])
-    found = found.select("doc_id", "n", "copy_id", F.coalesce("root", "copy_id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    alone = docs.select("doc_id").join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    found = found.select("doc_id", F.col("n").alias("n_grams"), "copy_id", F.col("root").alias("class_id"), F.col("links").alias("n_links"))
-    alone = alone.select("doc_id", F.lit(0).cast("long").alias("n_grams"), F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+    roots = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    per_copy = stored(copies.drop("bands").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "per-copy")
+    least = per_copy.groupBy("root").agg(F.min(F.struct("copy_id", "copy_rid")).alias("least"))
+    total = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    per_copy = stored(per_copy.join(least, "root").select("n", "c1", "c2", "copies", "copy_id", total, F.col("least.copy_id").alias("class_id"), F.col("least.copy_rid").alias("class_rid")), "per-class")
+    found = join_hot(signed.select("doc_id", "rid", "n", "c1", "c2"), per_copy, ["n", "c1", "c2"], "copies")
+    found = found.select("doc_id", "rid", F.col("n").alias("n_grams"), "copy_id", "class_id", "n_links", ((F.col("class_id") == F.col("doc_id")) & (F.col("class_rid") == F.col("rid"))).alias("kept"))
+    alone = docs.select("doc_id", "rid").join(signed.select("doc_id", "rid").distinct(), ["doc_id", "rid"], "left_anti")
+    alone = alone.select("doc_id", "rid", F.lit(0).cast("long").alias("n_grams"), F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return found.unionByName(alone)
