@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quirelake.llm import kernels as K
 from quirelake.llm.embed_dedup import embedding_dedup
 from quirelake.llm.ngram_join import band_count, ngram_join
-from quirelake.llm.phrase_dedup import phrase_dedup, strip_phrases
+from quirelake.llm.phrase_dedup import Shard, confirmed, phrase_dedup, strip_phrases
+from quirelake.llm.repeats import Spans, anchors
 from quirelake.llm.suffix_dedup import blind_trie, common_prefix, deep_shallow, suffix_dedup
 
 from . import brute
@@ -45,7 +48,7 @@ def widened(spark, rows):
 
 @pytest.mark.parametrize("limit", [1, 3, 512])
 def test_phrases(spark, limit):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in phrase_dedup(widened(spark, corpus()), length=8, k=3, limit=limit, with_text=True).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.text) for r in phrase_dedup(widened(spark, corpus()), length=8, k=3, limit=limit).collect()}
     assert got == brute.phrases(corpus(), 8)
 
 
@@ -60,7 +63,7 @@ def test_phrase_text_is_rewritten_in_place(spark):
 
 @pytest.mark.parametrize("limit", [2, 256])
 def test_byte_spans(spark, limit):
-    got = sorted((tuple(r) for r in suffix_dedup(widened(spark, corpus()), length=40, k=12, limit=limit).collect()), key=str)
+    got = sorted((tuple(r)[:-1] for r in suffix_dedup(widened(spark, corpus()), length=40, k=12, limit=limit).collect()), key=str)
     assert got == brute.spans(corpus(), 40)
 
 
@@ -74,6 +77,46 @@ def test_repeated_rows_and_null_ids(spark):
     assert near == {(1, 1, 1, True), (None, None, 0, True), (2, 2, 0, True)}
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(120))
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup(spark.createDataFrame([(1, a), (1, b), (2, a)], TEXT), length=60, k=12).collect()}
+    assert got == {(1, len(a)): len(a), (1, len(b)): 0, (2, len(a)): len(a)}
+    rows = [(5, a), (5, "pre pre pre " + a), (5, b), (6, b), (6, b)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in phrase_dedup(spark.createDataFrame(rows, TEXT)).collect())
+    assert got in ([(5, 60, 0), (5, 63, 60), (5, 120, 0), (6, 120, 120), (6, 120, 120)], [(5, 60, 60), (5, 63, 0), (5, 120, 0), (6, 120, 120), (6, 120, 120)])
+
+
+def test_the_automaton_finds_what_nobody_placed():
+    shard = Shard()
+    shard.add(b"a b c", (1, 0, 7))
+    assert shard.hits(1, 0, b"x a b c".split()) is None  # before the first place
+    assert shard.hits(2, 0, b"a b a b c y a b c".split()).tolist() == [False, False, True, True, True, False, True, True, True]
+    assert Shard().hits(2, 0, [b"a"]) is None
+
+
+def test_phrases_of_a_block_are_routed_without_places(spark):
+    """One phrase row a block, however many copies the block has: only the automaton can find them all."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30))) for i in range(400)], TEXT)
+    phrases, _ = confirmed(docs, Spans("words", 20, 4))
+    assert phrases.groupBy("block").count().agg({"count": "max"}).head()[0] == 1
+    assert sorted(r.n_removed for r in phrase_dedup(docs).collect()) == [0] + [30] * 399
+
+
+def test_a_long_document_in_parts(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(K, "CHUNK_BYTES", 64)
+    from quirelake.llm.repeats import _parts
+
+    texts = pa.array([t for _, t in rows], pa.string())
+    for unit in ("bytes", "words"):
+        found = {}
+        for size in (64, 1 << 18):
+            K.CHUNK_BYTES = size
+            batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([0] * len(rows)), texts], ["doc_id", "rid", "text"])
+            found[size] = sorted(tuple(r.values()) for b in anchors(Spans(unit, 40 if unit == "bytes" else 8, 3))(iter([batch])) for r in b.to_pylist())
+        assert found[64] == found[1 << 18]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], TEXT)
     assert [f(none).count() for f in (phrase_dedup, suffix_dedup, ngram_join, strip_phrases)] == [0] * 4
@@ -87,6 +130,20 @@ def test_near_duplicates(spark, block):
     assert got == want and sum(n for n, _ in want.values()) > 20
 
 
+def test_near_duplicates_under_one_id(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (3, " ".join([*b, "y"]))]
+    got = sorted((r.doc_id, r.n_links, r.class_id, r.kept) for r in ngram_join(spark.createDataFrame(rows, TEXT)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
+
+
+def test_a_large_group_of_equal_vectors(spark):
+    rows = [(i, [1.0, 0.0, 0.5], "a") for i in range(20_000)] + [(30_000, [1.0, 0.0, 0.51], "a"), (30_001, [0.0, 1.0, 0.0], "a"), (30_002, [1.0, 0.0, 0.5], "b"), (7, [0.0, 1.0, 0.01], "a")]
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert {x for x in got if x[0] in (0, 1, 30_000, 30_002)} == {(0, 20_000, 0, True), (1, 20_000, 0, False), (30_000, 20_000, 0, False), (30_002, 0, 30_002, True)}
+    assert {x[1:] for x in got if x[0] == 7} == {(20_000, 0, False), (1, 7, True)} and (30_001, 1, 7, False) in got
+
+
 def test_band_count_reaches_the_recall():
     for rows in range(1, 9):
         assert 1 - (1 - 0.8**rows) ** band_count(0.8, rows, 0.999) >= 0.999
