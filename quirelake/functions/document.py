@@ -242,13 +242,6 @@ def clean_description(c: Column) -> Column:
     return strip(F.replace(c, F.lit("Description"), F.lit("")))
 
 
-def canonical_mark(mark: Column, doc_id: Column, idno: Column, url: Column, joined: Column) -> Column:
-    """Field, id before a slash, idno, last part of the address, main mark of the joins, raw id."""
-    before = F.when(F.contains(doc_id, F.lit("/")), F.split_part(doc_id, F.lit("/"), F.lit(1)))
-    tail = F.nullif(F.regexp_extract(url, r"/(MS-[^/?#]+)", 1), F.lit(""))
-    return F.coalesce(*[F.nullif(strip(x), F.lit("")) for x in (mark, before, idno, tail, joined, doc_id)])
-
-
 def image_list(base: Column, count: Column) -> Column:
     """One entry per page: file name, side and order."""
     side = lambda i: F.when(i == 1, "recto").when(i == 2, "verso").otherwise(F.concat(F.lit("page_"), i))
@@ -259,14 +252,6 @@ def file_extension(c: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(c, r"\.([a-zA-Z0-9]+)(?:\?|$)", 1), F.lit("")))
 
 
-def notes_fields(notes: Column) -> Column:
-    """(location, classmark, provenance, donor, donation_year) of a line-wise notes field."""
-    lines = F.split(notes, "\n")
-    line = lambda name: strip(F.replace(F.get(F.filter(lines, lambda x: strip(x).startswith(name)), F.lit(0)), F.lit(name), F.lit("")))
-    donor = line("Donated by")
-    return F.struct(line("Location:").alias("location"), line("Classmark:").alias("classmark"), line("Provenance:").alias("provenance"), donor.alias("donor"), dates.donation_year(donor).alias("donation_year"))
-
-
 def transcription_level(lines: Column) -> Column:
     return F.when(lines == 0, "none").when(lines < 5, "minimal").when(lines < 15, "partial").otherwise("complete")
 

@@ -30,6 +30,14 @@ def model_summary(df: DataFrame, model: str) -> DataFrame:
     return df.groupBy(model).agg(F.count("*").alias("processed"), F.avg("cer").alias("avg_cer"), F.avg("similarity").alias("avg_similarity"))
 
 
+def length_summary(df: DataFrame, by: list[str], similarity: str, predicted: str, target: str) -> DataFrame:
+    """Samples, average, least and most similarity, and the average lengths of what was said and wanted."""
+    s = F.col(similarity)
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(s).alias("avg_similarity"), F.min(s).alias("min_similarity"), F.max(s).alias("max_similarity"), F.avg(F.length(predicted)).alias("avg_pred_length"), F.avg(F.length(target)).alias("avg_target_length")
+    )
+
+
 def best_model(summary: DataFrame, model: str, consensus: str) -> DataFrame:
     """One row: the single model of least error (first name on ties), and what the consensus gains over it."""
     single = summary.where(F.col(model) != consensus).agg(F.min_by(F.struct(model, "avg_cer"), F.struct("avg_cer", model)).alias("best"))

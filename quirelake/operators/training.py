@@ -33,5 +33,11 @@ def positional_split(df: DataFrame, group: str, order: str, share: float = 0.8)
     return df.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * share), "train").otherwise("validation"))
 
 
+def hashed_split(df: DataFrame, key: str, share: float = 0.9) -> DataFrame:
+    """A split by a hash of the key: the same on every run and however the rows are partitioned."""
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 1000
+    return df.withColumn("split", F.when(place < int(share * 1000), "train").otherwise("validation"))
+
+
 def moving_average(df: DataFrame, group: str, order: str, value: str, n: int) -> DataFrame:
     return df.withColumn("moving_average", F.avg(value).over(Window.partitionBy(group).orderBy(order).rowsBetween(1 - n, 0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, document, text
+from ..functions import dates, document, notes, text
 from ..functions.fixed_values import TYPE_KEYWORDS
 from ..operators import normalize, training, viz
 from .registry import Tables, query
@@ -159,10 +159,11 @@ def json_props_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.get_json_object("props", "$.absent").alias("absent"))
 
 
-@query("""SELECT c_custkey, c_mktsegment AS location, c_name AS classmark, NULL::VARCHAR AS provenance, 'A. Donor, ' || (1850 + c_custkey % 100)::VARCHAR AS donor, (1850 + c_custkey % 100)::INTEGER AS donation_year FROM customer""")
+@query("""SELECT c_custkey, 'Hall ' || c_mktsegment AS physical_location, 'other' AS institution, c_name AS classmark, 'other' AS collection, 'bought in ' || (1850 + c_custkey % 100) AS provenance, (1850 + c_custkey % 100)::VARCHAR AS donation_year, 'Donor, A' AS donors FROM customer""")
 def misc_info_parse(t: Tables) -> DataFrame:
-    notes = F.concat(F.lit("Location: "), C("c_mktsegment"), F.lit("\nClassmark: "), C("c_name"), F.lit("\nDonated by A. Donor, "), F.lit(1850) + C("c_custkey") % 100)
-    return t.customer.select("c_custkey", document.notes_fields(notes).alias("n")).select("c_custkey", "n.*")
+    text = F.concat(F.lit("Location: Hall "), C("c_mktsegment"), F.lit("\nClassmark: "), C("c_name"), F.lit("\nProvenance: bought in "), F.lit(1850) + C("c_custkey") % 100, F.lit("\nDonated by: Donor, A"))
+    rows = t.customer.select("c_custkey", notes.notes_record(text).alias("n"))
+    return rows.select("c_custkey", *[f"n.{c}" for c in ("physical_location", "institution", "classmark", "collection", "provenance", "donation_year", "donors")])
 
 
 @query("""SELECT p_partkey, p_type AS material, CASE WHEN p_partkey % 3 <> 0 THEN p_size::DOUBLE END AS height, CASE WHEN p_partkey % 3 <> 0 THEN (p_size + 1)::DOUBLE END AS width, p_size::VARCHAR || ' lines' AS extent FROM part""")

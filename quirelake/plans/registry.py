@@ -35,4 +35,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import document_queries, evaluation_queries, graph_queries, page_queries, relational_queries, search_queries  # noqa: E402, F401
+from . import archive_queries, document_queries, evaluation_queries, exchange_queries, graph_queries, page_queries, relational_queries, search_queries  # noqa: E402, F401

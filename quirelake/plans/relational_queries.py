@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational, resolve
+from ..sources.exchange import scratch_folder
 from ..streaming import microbatch
 from .registry import Tables, query
 
@@ -149,8 +147,7 @@ def event_windows(t: Tables) -> DataFrame:
 
 def _ingested(t: Tables) -> str:
     """``events`` taken in through the micro-batch path; the folder of batches."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = f"{(root or 'file://' + tempfile.mkdtemp(prefix='quirelake-')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    root = scratch_folder(t.spark, "stream")
     # a file source wants a folder: a single file is read through its parent with a name filter
     events = t.events
     events.write.parquet(f"{root}/arrivals")

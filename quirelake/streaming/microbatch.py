@@ -29,12 +29,22 @@ def ingest(spark: SparkSession, source: str, schema: StructType | str, target: s
 
 
 def status(spark: SparkSession, checkpoint: str, target: str, expected: int | None = None) -> DataFrame:
-    """One row: state (not_started, in_progress, completed) and rows taken in."""
+    """One row: state (not_started, in_progress, completed) and rows taken in.
+
+    Completed: the rows expected are there; without a number, every batch that was planned has been committed.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([("not_started", 0)], "state string, rows long")
     rows = spark.read.parquet(target).agg(F.count("*").alias("rows"))
-    return rows.select(F.when(F.lit(expected).isNull() | (F.col("rows") >= F.lit(expected)), "completed").otherwise("in_progress").alias("state"), "rows")
+    if expected is not None:
+        done = F.col("rows") >= F.lit(expected)
+    else:
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        commits = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+        numbers = lambda p: {f.getPath().getName() for f in store.listStatus(p) if f.getPath().getName().isdigit()}
+        done = F.lit(store.exists(commits) and numbers(path) <= numbers(commits))
+    return rows.select(F.when(done, "completed").otherwise("in_progress").alias("state"), "rows")
 
 
 def consolidate(spark: SparkSession, target: str, key: str) -> DataFrame:
