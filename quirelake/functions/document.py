@@ -70,7 +70,7 @@ def _classes(c: Column, classes: list[tuple[str, list[str]]]) -> Column:
 
 def document_type(description: Column, category: Column | None = None, summary: Column | None = None) -> Column:
     """The category, else the first keyword class of the description, else of the summary."""
-    found = _classes(F.lower(description), fixed_values.TYPE_KEYWORDS)
+    found = let(F.lower(description), lambda c: _classes(c, fixed_values.TYPE_KEYWORDS))
     if summary is not None:
         found = F.coalesce(found, _classes(F.lower(summary), [(x, [x]) for x in fixed_values.SUMMARY_TYPES]))
     return found if category is None else F.coalesce(F.nullif(category, F.lit("")), found)

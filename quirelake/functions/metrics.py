@@ -41,6 +41,18 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(lambda x, y: SequenceMatcher(None, x, y).ratio(), a, b)
 
 
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("cer", "wer", "similarity")]))
+def transcription_metrics(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """cer, wer and similarity of each pair; characters are aligned once for the first and the last."""
+
+    def both(x: str, y: str) -> tuple[float, float, float]:
+        match = SequenceMatcher(None, x, y)
+        changed = sum(max(b - a, d - c) for op, a, b, c, d in match.get_opcodes() if op != "equal")
+        return changed / len(x) if x else float(bool(y)), error_rate(x.split(), y.split()), match.ratio()
+
+    return pd.DataFrame([both(x or "", y or "") for x, y in zip(ref, hyp)], columns=["cer", "wer", "similarity"], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def stripped_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(lambda x, y: SequenceMatcher(None, x.strip(), y.strip()).ratio() if x.strip() and y.strip() else 0.0, a, b)

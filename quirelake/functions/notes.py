@@ -103,10 +103,6 @@ def model_input(text: Column, most: int = 77) -> Column:
     return F.substring(text, 1, most)
 
 
-def metadata_quality(score: Column) -> Column:
-    return F.when(score >= 0.8, "high").when(score >= 0.6, "medium").otherwise("low")
-
-
 def few(values: Column, n: int = 5) -> Column:
     """The first ``n`` of a list, for a report."""
     return F.slice(values, 1, n)

@@ -14,7 +14,8 @@ def metric_rows(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     """``df`` with cer, wer, similarity, exact_match on normalised text, and counts on raw text."""
     r, h = normalise_space(F.coalesce(F.col(ref), F.lit(""))), normalise_space(F.coalesce(F.col(hyp), F.lit("")))
     n, m = F.length(F.coalesce(F.col(hyp), F.lit(""))), F.length(F.coalesce(F.col(ref), F.lit("")))
-    return df.withColumns({"cer": metrics.cer(r, h), "wer": metrics.wer(r, h), "similarity": metrics.similarity(r, h), "exact_match": r == h, "char_count": n, "gt_char_count": m, "char_diff": F.abs(n - m)})
+    rows = df.withColumns({"__m": metrics.transcription_metrics(r, h), "exact_match": r == h, "char_count": n, "gt_char_count": m, "char_diff": F.abs(n - m)})
+    return rows.withColumns({c: F.col(f"__m.{c}") for c in ("cer", "wer", "similarity")}).drop("__m")
 
 
 def disagreements(df: DataFrame, doc: str, model: str, text: str) -> DataFrame:

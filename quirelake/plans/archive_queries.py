@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, images, notes, text
+from ..functions import dates, document, images, notes, text
 from ..operators import clusters, evaluate, index, relational, search, training
 from ..sources import exchange
 from .registry import Tables, query
@@ -198,7 +198,7 @@ def model_seed_rows(t: Tables) -> DataFrame:
 
 @query("""SELECT lang, count(*) AS documents, count_if(length(trim(text)) > 10)::BIGINT AS with_truth, count_if(n_chars >= 4000)::BIGINT AS high, count_if(n_chars >= 3000 AND n_chars < 4000)::BIGINT AS medium FROM documents GROUP BY lang""")
 def truth_and_quality(t: Tables) -> DataFrame:
-    quality = notes.metadata_quality(C("n_chars") / 5000)
+    quality = document.metadata_quality(C("n_chars") / 5000)
     return t.documents.groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(evaluate.has_truth("text")).alias("with_truth"), F.count_if(quality == "high").alias("high"), F.count_if(quality == "medium").alias("medium"))
 
 

@@ -19,9 +19,9 @@ def _score(t: Tables) -> DataFrame:
     lines = F.size(F.filter(F.split(x, "\n"), text.nonempty))
     score = document.completeness(
         description=x, has_id=C("doc_id").isNotNull(), has_date=x.rlike("[0-9]{4}"), transcriptions=lines, lines=lines, translations=F.when(C("lang") != "en", 1).otherwise(0), images=F.when(F.contains(x, F.lit("http")), 1).otherwise(0),
-        category=document.document_type(x), language=C("lang"), relations=F.when(F.contains(x, F.lit("@")), 1).otherwise(0), notes=F.when(F.contains(x, F.lit("|")), "table"), url=C("source"),
+        category=C("document_type"), language=C("lang"), relations=F.when(F.contains(x, F.lit("@")), 1).otherwise(0), notes=F.when(F.contains(x, F.lit("|")), "table"), url=C("source"),
     )
-    return t.documents.withColumn("completeness", score).withColumn("document_type", document.document_type(x))
+    return t.documents.withColumn("document_type", document.document_type(x)).withColumn("completeness", score)
 
 
 _TYPE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in TYPE_KEYWORDS) + " END"
