@@ -151,14 +151,15 @@ class Shard:
     def add(self, words: bytes, first: tuple[int, int, int], meant: tuple = ()) -> None:
         """Phrases that are ``meant`` for one document, at one distance from their first place, come one after the
         other; where they overlap, they are one phrase there as here."""
-        phrase = list(map(self.numbers.__getitem__, words.split()))
         if self.open and meant and meant == self.open[2] and first[:2] == self.open[1][:2]:
             at = first[2] - self.open[1][2]
             if at <= len(self.open[0]):
-                self.open[0][at:] = phrase if at + len(phrase) >= len(self.open[0]) else phrase + self.open[0][at + len(phrase) :]
+                new = at + words.count(b" ") + 1 - len(self.open[0])  # words past the open phrase's end
+                if new > 0:
+                    self.open[0].extend(map(self.numbers.__getitem__, words.rsplit(b" ", new)[-new:]))
                 return
         self.close()
-        self.open = phrase, first, meant
+        self.open = list(map(self.numbers.__getitem__, words.split())), first, meant
 
     def close(self) -> None:
         if self.open:
@@ -196,7 +197,7 @@ class Shard:
         return np.cumsum(np.bincount(begin[later], minlength=n) - np.bincount(last[later] + 1, minlength=n))[:-1] > 0
 
 
-def streamed(keep: bool, schema: str):
+def streamed(keep: bool):
     """Rows (block, kind, row, phrase) in the order of ``_ORDER``, so a block's phrases before its documents -> the documents without what the hits cover.
 
     With ``keep`` a document is returned with all its columns and a rewritten text, or not at all once it has lost
@@ -225,24 +226,27 @@ def streamed(keep: bool, schema: str):
     def stripped(shard: Shard, row: pa.StructArray) -> pa.RecordBatch:
         names = [f.name for f in row.type]
         columns = row.flatten()
-        ids, rids, texts = (columns[names.index(c)].to_pylist() for c in ("doc_id", "__rid", "text"))
-        out, left = [], []
-        for i, (doc, rid, text) in enumerate(zip(ids, rids, texts)):
-            words = (text or "").encode().split()
+        ids, rids = (columns[names.index(c)].to_pylist() for c in ("doc_id", "__rid"))
+        text = names.index("text")
+        kind = columns[text].type
+        texts = columns[text].cast(pa.binary()).to_pylist()
+        counts, gone, digests, left = [], [], [], []
+        for i, (doc, rid, raw) in enumerate(zip(ids, rids, texts)):
+            words = (raw or b"").split()
             mask = None if doc is None else shard.hits(doc, rid, words)
-            n = len(words)
+            counts.append(len(words))
             if mask is not None:
                 words = list(compress(words, (~mask).tolist()))
+            if mask is not None or not keep:
+                texts[i] = b" ".join(words)
             if not keep:
-                kept = b" ".join(words)
-                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            elif mask is not None:
-                texts[i] = b" ".join(words).decode("utf-8", "replace")
+                gone.append(counts[-1] - len(words))
+                digests.append(hashlib.sha256(texts[i]).hexdigest())
             left.append(mask is None or bool(words))
+        kept = pa.array(texts, pa.binary()).cast(kind)
         if not keep:
-            return _rows(out, schema)
-        text = names.index("text")
-        columns[text] = pa.array(texts, columns[text].type)
+            return pa.RecordBatch.from_arrays([columns[names.index("doc_id")], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), kept.cast(pa.string())], [x.split()[0] for x in RESULT.split(", ")])
+        columns[text] = kept
         rest = [i for i, c in enumerate(names) if c != "__rid"]
         return pa.RecordBatch.from_arrays([columns[i] for i in rest], [names[i] for i in rest]).filter(pa.array(left, pa.bool_()))
 
@@ -255,7 +259,7 @@ def _stream(docs: DataFrame, mode: Spans, columns: list[str], keep: bool, schema
     of_row = F.struct(*rows.columns).alias("row")
     rows = rows.select(F.struct("doc_id", F.col("__rid").alias("rid")).alias("__at"), of_row).select(F.col("__at.doc_id").alias("doc_id"), F.col("__at.rid").alias("rid"), "row").select(block, F.lit(1).alias("kind"), "row")
     both = rows.unionByName(phrases.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    return both.repartition("block").sortWithinPartitions(*_ORDER).mapInArrow(streamed(keep, schema), schema)
+    return both.repartition("block").sortWithinPartitions(*_ORDER).mapInArrow(streamed(keep), schema)
 
 
 def phrase_dedup(docs: DataFrame, length: int = 20, k: int = 4, limit: int = 512) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .work import stored
+from .work import scratch, stored
 
 ANCHORS = "doc_id long, rid long, pos long, key long, c1 long, c2 long, fp long"
 CONTEXTS = "key long, d long, lo int, hi int, n long, doc_id long, rid long, pos long, left_part binary, right_part binary"
@@ -79,8 +79,8 @@ def _parts(mode: Spans, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.n
             yield a, data, offsets, 0, 0, len(data)
 
 
-def anchors(mode: Spans, keys_only: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, rid, text) -> its anchors, with ``keys_only`` their keys alone.
+def anchors(mode: Spans) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, rid, text) -> its anchors.
 
     ``fp``, summed over all places of a context, tells whether two contexts occur side by side wherever they occur:
     a step to the right multiplies it by a constant.
@@ -88,9 +88,8 @@ def anchors(mode: Spans, keys_only: bool = False) -> Callable[[Iterator[pa.Recor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not keys_only:
-                ids, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                names = K.mix(ids.view(np.uint64) ^ K.mix(rids.view(np.uint64)))
+            ids, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            names = K.mix(ids.view(np.uint64) ^ K.mix(rids.view(np.uint64)))
             for a, units, ranges, shift, least, most in _parts(mode, batch.column(2)):
                 one = units if mode.unit == "words" else K.TABLES[0][units]
                 first = K.Spans(one)
@@ -101,9 +100,6 @@ def anchors(mode: Spans, keys_only: bool = False) -> Callable[[Iterator[pa.Recor
                     pos, doc = pos[own], doc[own]
                 if not len(pos):
                     continue
-                if keys_only:
-                    yield pa.RecordBatch.from_arrays([_long(grams[pos])], ["key"])
-                    continue
                 second = K.Spans(_second(units) if mode.unit == "words" else K.TABLES[1][units], 1)
                 low, high = ranges[doc], ranges[doc + 1]
                 start, end = np.maximum(low, pos - mode.reach), np.minimum(high, pos + mode.length)
@@ -223,8 +219,12 @@ def solved(rows: DataFrame, mode: Spans, solver: Solver, schema: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for lo, hi, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                out.extend(solver(mode, lo, hi, group.as_py()))
+            flat = batch.column(2).flatten()
+            names = [f.name for f in flat.type]
+            rows = [dict(zip(names, x)) for x in zip(*(flat.field(i).to_pylist() for i in range(len(names))))]
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy()).tolist()
+            for lo, hi, begin, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends], ends):
+                out.extend(solver(mode, lo, hi, rows[begin:end]))
                 if len(out) > 20_000:
                     yield _rows(out, schema)
                     out = []
@@ -246,9 +246,10 @@ def at(place: str) -> list[Column]:
 def anchored_contexts(docs: DataFrame, mode: Spans) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(anchors whose key recurs, their contexts with a count and the first place, keys with several contexts); all stored."""
     docs = named(docs)
-    keys = docs.mapInArrow(anchors(mode, keys_only=True), "key long")
-    keys = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    anchored = stored(docs.mapInArrow(anchors(mode), ANCHORS).join(keys, "key", "left_semi").select(*[x.split()[0] for x in ANCHORS.split(", ")]), "anchors")
+    with scratch(docs.sparkSession):
+        found = stored(docs.mapInArrow(anchors(mode), ANCHORS), "all-anchors")
+        keys = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+        anchored = stored(found.join(keys, "key", "left_semi").select(*[x.split()[0] for x in ANCHORS.split(", ")]), "anchors", outer=True)
     halves = (F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))  # sums of 32 bits don't overflow
     seen = anchored.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first"), F.sum(halves[0]).alias("fp_low"), F.sum(halves[1]).alias("fp_high"))
     seen = stored(seen, "contexts")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import CONTEXTS, PLACE, Spans, _rows, anchored_contexts, contexts, join_hot, named, refined, solved, units
+from .repeats import CONTEXTS, PLACE, Spans, anchored_contexts, contexts, join_hot, listed, named, refined, solved, units
 from .work import scratch, stored
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
@@ -150,31 +150,30 @@ def equal_spans(mode: Spans, lo: int, hi: int, rows: list[dict]) -> Iterator[tup
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in RESULT.split(", ")]
     for batch in batches:
-        out, size = [], 0
-        for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            data = (text.as_py() or "").encode()
-            kept, at, removed, spans = [], 0, 0, 0
-            end = None
-            for a, b in sorted((x["start"], min(x["end"], len(data))) for x in marks.as_py() or ()):
-                if end is None or a > end:
-                    if end is not None:
-                        removed, spans, at = removed + end - start, spans + 1, end
-                    kept.append(data[at:a])
-                    start, end = a, b
-                else:
-                    end = max(end, b)
-            if end is not None:
-                removed, spans, at = removed + end - start, spans + 1, end
-            kept.append(data[at:])
-            whole = b"".join(kept)
-            left = "".join(x.decode("utf-8", "ignore") for x in kept)
-            out.append((doc, len(data), removed, spans, hashlib.sha256(whole).hexdigest(), left))
-            size += len(whole)
-            if size > 4 << 20:
-                yield _rows(out, RESULT)
-                out, size = [], 0
-        yield _rows(out, RESULT)
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            digests, texts, removed, spans, sizes = [], [], [], [], []
+            for data, marks in zip(part.column(1).fill_null("").cast(pa.binary()).to_pylist(), listed(part.column(2))):
+                sizes.append(len(data))
+                if not len(marks["start"]):
+                    digests.append(hashlib.sha256(data).hexdigest())
+                    texts.append(data)
+                    removed.append(0)
+                    spans.append(0)
+                    continue
+                order = np.argsort(marks["start"])
+                start, end = marks["start"][order], np.maximum.accumulate(np.minimum(marks["end"][order], len(data)))
+                new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+                start, end = start[new].tolist(), end[np.r_[new[1:], len(end)] - 1].tolist()
+                kept = [data[a:b] for a, b in zip([0, *end], [*start, len(data)])]
+                digests.append(hashlib.sha256(b"".join(kept)).hexdigest())
+                texts.append("".join(x.decode("utf-8", "ignore") for x in kept).encode())
+                removed.append(sum(end) - sum(start))
+                spans.append(len(start))
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *numbers, pa.array(digests), pa.array(texts, pa.binary()).cast(pa.string())], names)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, k: int = 64, limit: int = 256) -> DataFrame:
