@@ -20,6 +20,8 @@ from .tokens import encoder
 from .work import stored
 
 CAPACITIES = (512, 1024, 2048, 4096)
+#: Equal rows travel as one with a count of at most this many.
+COPIES = 512
 PACKED = "doc_id long, piece long, start long, length long, shard long, bin long, capacity long, position long"
 
 
@@ -56,8 +58,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
     used: list[int] = []
     by_room: dict[int, list[int]] = {}
     rooms: list[int] = []  # sorted distinct rooms of open bins
-    choice: dict[int, int] = {}
-    for n, i in enumerate(np.argsort(-lengths, kind="stable").tolist()):
+    for i in np.argsort(-lengths, kind="stable").tolist():
         size = int(lengths[i])
         histogram[size] -= 1
         k = bisect_left(rooms, size)
@@ -68,12 +69,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
             if not stack:
                 del by_room[room], rooms[k]
         else:
-            if n % 64 == 0:
-                choice.clear()  # what is left changes slowly
-            capacity = choice.get(size)
-            if capacity is None:
-                capacity = choice[size] = opened(size, histogram, capacities, cost)
-            b, room = len(used), capacity
+            b, room = len(used), opened(size, histogram, capacities, cost)
             used.append(0)
         bins[i], at[i] = b, used[b]
         used[b] += size
@@ -111,6 +107,7 @@ def _pack_shard(capacities: tuple[int, ...]):
                 if rows is None:
                     continue
                 order = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+                order = order.take(pa.array(np.repeat(np.arange(len(order)), order.column("copies").to_numpy())))
                 lengths = order.column("length").to_numpy()
                 bins, at, sizes = pack(lengths, capacities)
                 yield pa.RecordBatch.from_arrays(
@@ -128,7 +125,8 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, le
     neither its words (ASCII white space apart) and an end mark.  A document longer
     than the largest capacity is cut into pieces of that size and a rest; one of length zero is a piece of length
     zero.  (shard, bin) names a bin; position is where a piece begins in it.  A null text has the end mark only; a
-    null or negative ``length`` is zero; null ids and repeated rows are packed like others; other columns are
+    null or negative ``length`` is zero; null ids and repeated rows are packed like others, and rows of equal id and
+    length are counted before they are dealt, so that any number of them spreads over the shards; other columns are
     ignored; an empty table gives no rows.
     """
     capacities = tuple(sorted(set(capacities)))
@@ -137,12 +135,15 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, le
         sized = docs.select("doc_id", "text").mapInArrow(_token_counts(tokenizer) if tokenizer else _word_counts, "doc_id long, length long")
     else:
         sized = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("length"))
-    cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(length - 1) div {most}")))
-    pieces = sized.select("doc_id", "length", F.explode(cut).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("length") - F.col("piece") * most).alias("length"))
+    counted = sized.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.select("doc_id", "length", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("block"))
+    blocks = blocks.select("doc_id", "length", "block", F.least(F.lit(COPIES), F.col("n") - F.col("block") * COPIES).alias("copies"))
+    pieces = blocks.select("*", F.explode(F.expr(f"sequence(0L, greatest(0L, (length - 1) div {most}))")).alias("piece"))
+    start = F.col("piece") * most
+    pieces = pieces.select("doc_id", "block", "copies", "piece", start.alias("start"), F.least(F.lit(most), F.col("length") - start).alias("length"))
     pieces = stored(pieces, "pieces")
-    shards = max(1, pieces.count() // shard_rows)
-    # length and piece take part, so that many rows of one id still spread
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
-    groups = dealt.groupBy("shard").agg(F.collect_list(F.struct("doc_id", "piece", "start", "length")).alias("g"))
+    shards = max(1, (pieces.agg(F.sum("copies")).first()[0] or 0) // shard_rows)
+    # all that tells pieces apart takes part, so that many rows of one id still spread
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "block"), F.lit(shards)))
+    groups = dealt.groupBy("shard").agg(F.collect_list(F.struct("doc_id", "piece", "start", "length", "copies")).alias("g"))
     return groups.mapInArrow(_pack_shard(capacities), PACKED)
