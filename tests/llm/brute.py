@@ -119,3 +119,30 @@ def warc(rows, least):
     for p, b in payload.items():
         best[b] = max(best.get(b, p), p)
     return {p: (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if len(b) >= least and best[b] != p else "response", best[b] if len(b) >= least and best[b] != p else None) for p, b in payload.items()}
+
+
+def best_fit(lengths, capacities, cost):
+    """(bin, position, capacity) of each piece: longest first, into the fullest bin it fits, of these the one used last."""
+    out, bins = {}, []  # a bin: [room, last use, used]
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for turn, i in enumerate(order):
+        size, later = lengths[i], [lengths[j] for j in order[turn + 1 :]]
+        fitting = [b for b in bins if b[0] > 0 and b[0] >= size]
+        if fitting:
+            chosen = min(fitting, key=lambda b: (b[0], -b[1]))
+        else:
+            price = lambda c: cost(c) / max(1, size + min(c - size, sum(n for n in later if n <= c - size)))
+            chosen = [min((c for c in capacities if c >= size), key=price), 0, 0]
+            bins.append(chosen)
+        out[i] = next(k for k, b in enumerate(bins) if b is chosen), chosen[2]
+        chosen[0], chosen[1], chosen[2] = chosen[0] - size, turn, chosen[2] + size
+    fits = [min(c for c in capacities if c >= b[2]) for b in bins]
+    return [(*out[i], fits[out[i][0]]) for i in range(len(lengths))]
+
+
+def packed(rows, capacities, cost):
+    """(doc_id, piece, start, length, bin, capacity, position) of documents of the given lengths, in one shard."""
+    most = max(capacities)
+    pieces = [(d, k, k * most, min(most, n - k * most)) for d, n in rows for k in range(max(1, -(-n // most)))]
+    pieces.sort(key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1]))
+    return [(*x, b, c, at) for x, (b, at, c) in zip(pieces, best_fit([x[3] for x in pieces], capacities, cost))]

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
+from quirelake.llm.queries import SQL
+
 from . import brute
+from ..test_queries import TABLES, rows
 
 
 def test_stages(spark, sf_dir):
@@ -41,3 +47,22 @@ def test_every_operator_has_a_query():
     from quirelake.llm.queries import QUERIES
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query(spark, sf_dir, name):
+    from quirelake.llm.queries import QUERIES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    got, want = QUERIES[name](spark, sf_dir).toArrow(), con.sql(SQL[name]).to_arrow_table()
+    assert sorted(got.column_names) == sorted(want.column_names) and rows(got) == rows(want)
+
+
+def test_byte_spans_of_all_documents(spark, sf_dir):
+    from quirelake.llm.queries import QUERIES
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op7_suffix_array_dedup"](spark, sf_dir).collect()}
+    assert got == {d: tuple(x) for d, *x in brute.spans(docs, 400)}

@@ -5,20 +5,22 @@ from __future__ import annotations
 import io
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quirelake.llm import kernels as K
 from quirelake.llm.components import components
 from quirelake.llm.decontaminate import decontaminate
-from quirelake.llm.packing import CAPACITIES, pack, pack_documents
+from quirelake.llm.packing import CAPACITIES, bin_cost, pack, pack_documents
 from quirelake.llm.quality_fm import fit, keep_good, logits, quality_scores
-from quirelake.llm.queries import tokenizer_path
+from quirelake.llm.queries import QUERIES, tokenizer_path
 from quirelake.llm.token_binary import pack_values, read_file, token_binary, unpack_values, write_tokens
-from quirelake.llm.token_counts import SegmentTree, edited_counts, leaves
+from quirelake.llm.token_counts import TREES, SegmentTree, count_trees, edit_trees, edited_counts, leaves, redactions
 from quirelake.llm.tokens import encoder
 from quirelake.llm.warc import read_archives, read_records, warc_records, write_archives, write_record
 
@@ -28,10 +30,15 @@ TEXT = "doc_id long, text string"
 ODD = [None, "", " ", "  ", "a  b", "a b \n c", " lead", "trail ", "x\n\ny", "don't  do's", "tab\there", "<|endoftext|> hi", "é, ü. 12. a1, 3,4 (x) \"y\", ...", ",x", "a ,b", "x!. y", "a\x1fb c", "a\x1cb c", " x  y", "_, b", "word " * 300]
 
 
-def whole(text):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def whole(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("most", [10**6, 0])
@@ -174,10 +181,42 @@ def test_edited_counts(spark):
     assert got[1].n_edits == 2 and got[1].n_tokens_edited == len(whole("write to <MAIL> or <NUMBER> now"))
     assert got[4].n_tokens_edited == len(whole(long + "<MAIL> " + long)) and got[4].n_chars_encoded < 1500
     assert (got[2].n_tokens, got[3].n_tokens_edited, got[None].n_tokens) == (0, 0, len(whole("no id")))
+    odd = [(0, 3, "x"), (1, 5, "inside"), (-4, 0, "<"), (6, 99, ">"), (9, 4, "none")]
+    edits = spark.createDataFrame([(3, "abc def", odd)], TEXT + ", edits array<struct<start:int,end:int,text:string>>")
+    (row,) = edited_counts(edits, tokenizer_path(), find=None).collect()
+    assert (row.n_edits, row.n_tokens_edited) == (3, len(whole("<x de>")))
     edits = spark.createDataFrame([(1, "abc def", [(0, 3, "x"), (4, 7, None)]), (2, "q", None)], TEXT + ", edits array<struct<start:int,end:int,text:string>>")
     assert {r.doc_id: r.n_tokens_edited for r in edited_counts(edits, tokenizer_path(), find=None).collect()} == {1: len(whole("x ")), 2: len(whole("q"))}
 
 
+def test_kept_trees_take_edit_after_edit(spark):
+    text = "some words here, " * 300
+    start = spark.createDataFrame([(1, text), (2, None)], TEXT)
+    trees, path = count_trees(start, tokenizer_path()), tokenizer_path()
+    assert {r.doc_id: sum(r.tokens) for r in trees.collect()} == {1: len(whole(text)), 2: 0}
+    for turn in range(3):
+        at = 900 * turn
+        once = edit_trees(trees, path, lambda t: [(at, at + 7, "(new)")] if t else [(0, 0, "born")])
+        rows = {r.doc_id: r for r in once.collect()}
+        text = text[:at] + "(new)" + text[at + 7 :]
+        assert "".join(rows[1].leaves) == text and rows[1].n_tokens_edited == sum(rows[1].tokens) == len(whole(text))
+        assert rows[1].n_chars_encoded < 1500
+        trees = spark.createDataFrame([(r.doc_id, r.leaves, r.tokens) for r in rows.values()], TREES)
+        assert "".join(rows[2].leaves).startswith("born")
+
+
+def test_counts_of_all_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        edited, edits = r.text or "", redactions(r.text or "")
+        for a, b, new in reversed(edits):
+            edited = edited[:a] + new + edited[b:]
+        want[r.doc_id] = len(whole(r.text)), len(edits), len(whole(edited)), len(r.text or "")
+    got = QUERIES["op4_token_counts"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_edits, r.n_tokens_edited, r.n_chars) for r in got} == want and len(got) == len(want)
+
+
 PAGES = [(1, "http://a/1", "same"), (2, "u\r\nX-Forged: 1", "same"), (3, None, None), (4, "d", ""), (5, "e", "é" * 70_000), (6, "f", "é" * 70_000), (7, "g", "alone\r\n\r\nWARC/1.1")]
 
 
@@ -245,6 +284,26 @@ def test_bins_hold_what_they_say(lengths):
         assert all(a + n == (own[j + 1][0] if j + 1 < len(own) else used) for j, (a, n, _) in enumerate(own))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=60))
+def test_plain_best_fit(lengths):
+    got = list(zip(*(x.tolist() for x in pack(np.array(lengths, np.int64), (16, 32, 64)))))
+    assert got == brute.best_fit(lengths, (16, 32, 64), bin_cost)
+
+
+def test_packing_of_all_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = QUERIES["op9_packing"](spark, sf_dir).collect()
+    want = brute.packed([(r.doc_id, len(whole(r.text)) + 1) for r in docs], CAPACITIES, bin_cost)
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.bin, r.capacity, r.position) for r in got if r.shard == 0) == sorted(want)
+
+
+def test_rows_of_one_id_spread_over_shards(spark):
+    rows = spark.range(60_000).selectExpr("cast(null as long) doc_id", "'x' text")
+    got = pack_documents(rows, length=F.lit(900), shard_rows=2048).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 60_000 and max(r["count"] for r in got) <= 6 * 2048
+
+
 def test_packing(spark):
     rows = [(1, "w " * 9000), (2, None), (3, ""), (None, "x"), (None, "x"), (4, "a b c"), (4, "a b c")]
     got = pack_documents(spark.createDataFrame([(*r, 1, 2) for r in rows], TEXT + ", length long, bin long")).collect()
